@@ -8,21 +8,26 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
     "op8_mixing": op8_mixing,
 }
-ORACLES: dict[str, str] = {"op8_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {"op2_secrets": secrets.SQL, "op8_mixing": mixing.SQL}
 
 
 def _pipeline():
