@@ -63,22 +63,34 @@ def filled(rows: DataFrame, size: str, order: str, taken: str) -> DataFrame:
     return rows.drop("_cum")
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once; lambdas would compute an expression at each use."""
+    return F.transform(F.array(value), then)[0]
+
+
 def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Column:
     """How many of ``good`` are among ``drawn`` out of ``total``, by inverting the distribution at ``u``.
 
     The weights follow each other by their exact ratio; values over nine deviations from the mean (below 1e-15) are left out.
     """
     d = lambda c: c.cast("double")
-    mean = d(drawn) * d(good) / F.greatest(d(total), F.lit(1.0))
-    spread = 9 * F.sqrt(mean * (1 - d(good) / F.greatest(d(total), F.lit(1.0))) + 1) + 1
-    low = F.greatest(F.lit(0).cast("long"), drawn + good - total, F.floor(mean - spread))
-    high = F.greatest(low, F.least(good, drawn, F.ceil(mean + spread)))
-    after = lambda w, k: w * d(good - k) * d(drawn - k) / (d(k + 1) * d(total - good - drawn + k + 1))
-    one = F.lit(1.0)
-    weight = F.aggregate(F.sequence(low, high), F.struct(one.alias("w"), F.lit(0.0).alias("sum")), lambda a, k: F.struct(F.when(k < high, after(a["w"], k)).otherwise(0.0).alias("w"), (a["sum"] + a["w"]).alias("sum")))["sum"]
-    start = F.struct(one.alias("w"), F.lit(0.0).alias("sum"), low.alias("k"))
-    step = lambda goal: lambda a, k: F.struct(F.when(k < high, after(a["w"], k)).otherwise(0.0).alias("w"), (a["sum"] + a["w"]).alias("sum"), F.when(a["sum"] < goal, k).otherwise(a["k"]).alias("k"))
-    return F.aggregate(F.sequence(low, high), start, step(u * weight))["k"]
+    rate = d(good) / F.greatest(d(total), F.lit(1.0))
+    given = F.struct(total.alias("total"), good.alias("good"), drawn.alias("drawn"), u.alias("u"), (d(drawn) * rate).alias("mean"), (9 * F.sqrt(d(drawn) * rate * (1 - rate) + 1) + 1).alias("spread"))
+
+    def bounds(g):
+        low = F.greatest(F.lit(0).cast("long"), g["drawn"] + g["good"] - g["total"], F.floor(g["mean"] - g["spread"]))
+        return F.struct(low.alias("low"), F.greatest(low, F.least(g["good"], g["drawn"], F.ceil(g["mean"] + g["spread"]))).alias("high"))
+
+    def inverted(g, b):
+        after = lambda w, k: F.when(k < b["high"], w * d(g["good"] - k) * d(g["drawn"] - k) / (d(k + 1) * d(g["total"] - g["good"] - g["drawn"] + k + 1))).otherwise(0.0)
+        start = [F.lit(1.0).alias("w"), F.lit(0.0).alias("sum")]
+        step = lambda a, k: [after(a["w"], k).alias("w"), (a["sum"] + a["w"]).alias("sum")]
+        values = F.sequence(b["low"], b["high"])
+        weight = F.aggregate(values, F.struct(*start), lambda a, k: F.struct(*step(a, k)))["sum"]
+        found = lambda goal: F.aggregate(values, F.struct(*start, b["low"].alias("k")), lambda a, k: F.struct(*step(a, k), F.when(a["sum"] < goal, k).otherwise(a["k"]).alias("k")))["k"]
+        return _let(g["u"] * weight, found)
+
+    return _let(given, lambda g: _let(bounds(g), lambda b: inverted(g, b)))
 
 
 def split(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
@@ -91,8 +103,7 @@ def split(quotas: DataFrame, shards: int, seed: str) -> DataFrame:
 
         def draw(acc, x):
             u = F.pmod(F.xxhash64(F.lit(seed), F.col("node"), x["s"]), F.lit(1 << 52)) / float(1 << 52)
-            got = hypergeometric(acc["total"], x["q"], acc["left"], u)
-            return F.struct((acc["total"] - x["q"]).alias("total"), (acc["left"] - got).alias("left"), F.concat(acc["out"], F.array(entry(x["s"], got))).alias("out"))
+            return _let(hypergeometric(acc["total"], x["q"], acc["left"], u), lambda got: F.struct((acc["total"] - x["q"]).alias("total"), (acc["left"] - got).alias("left"), F.concat(acc["out"], F.array(entry(x["s"], got))).alias("out")))
 
         start = F.struct(F.col("whole").alias("total"), F.floor(F.col("whole") * left_leaves / F.col("leaves")).cast("long").alias("left"), F.col("has").alias("out"))
         start = F.struct(start["total"].alias("total"), start["left"].alias("left"), F.slice("has", 1, 0).alias("out"))
