@@ -8,7 +8,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, quality, secrets
+from . import langid, media, mixing, packing, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op5_media": op5_media,
+    "op7_language": op7_language,
     "op8_mixing": op8_mixing,
 }
 ORACLES: dict[str, str] = {"op2_secrets": secrets.SQL, "op8_mixing": mixing.SQL}
