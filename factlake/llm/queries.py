@@ -8,7 +8,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, langid, media, mixing, packing, quality, secrets
+from . import html, jaccard, langid, media, mixing, packing, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op5_media": op5_media,
+    "op6_jaccard": op6_jaccard,
     "op7_language": op7_language,
     "op8_mixing": op8_mixing,
     "op10_main_text": op10_main_text,
