@@ -8,7 +8,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, jaccard, langid, media, mixing, packing, quality, secrets
+from . import html, jaccard, langid, media, mixing, packing, quality, secrets, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removed(_table(spark, sf_dir, "documents"), spans=False).drop("removed")
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(_table(spark, sf_dir, "pages"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard": op6_jaccard,
     "op7_language": op7_language,
     "op8_mixing": op8_mixing,
+    "op9_suffix": op9_suffix,
     "op10_main_text": op10_main_text,
 }
 ORACLES: dict[str, str] = {"op2_secrets": secrets.SQL, "op8_mixing": mixing.SQL}
