@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import WORD, written
 from .components import connected
 from .hashing import U, shingles
 
@@ -284,8 +284,8 @@ def _tree_links(whole: DataFrame, blocks: DataFrame, least: int) -> DataFrame:
     return rows.repartition("unit").sortWithinPartitions("unit", "root", "i", "j").mapInArrow(traverse, "a long, b long")
 
 
-def joined(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, and set_key (equal sets, equal keys)."""
+def joined(docs: DataFrame, words: int = WORDS, least: int = LEAST, with_text_key: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, set_key (equal sets, equal keys), component_key (null: alone), and text_key if asked for."""
     own = written(sets(docs, words), "jaccard-sets")
     classes = written(own.filter("n > 0").groupBy("set_key").agg(F.first("n").alias("n"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).getField("text_key").alias("text_key")), "jaccard-classes")
     total = own.agg(F.sum("n")).first()[0] or 0
@@ -295,6 +295,27 @@ def joined(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame
     found = connected(_tree_links(whole, blocks, least))
     linked = classes.join(found.withColumnRenamed("key", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     least_of = linked.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("copies").alias("members")).filter("members > 1")
-    together = linked.join(least_of, "root").select("set_key", "component_id")
+    together = linked.join(least_of, "root").select("set_key", "component_id", F.col("root").alias("component_key"))
     out = own.join(together, "set_key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_key")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_key", "component_key", *["text_key"] * with_text_key)
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest doc_id (then text hash); documents without words all stay.
+
+    The others are anti-joined by id and text hash, so the texts aren't shuffled while those are few.
+    """
+    found = joined(docs, words, least, with_text_key=True)
+    ranked = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("text_key").alias("c"))
+    worded = written(found.filter("n_shingles > 0").select("doc_id", "text_key", F.coalesce("component_key", "set_key").alias("key")), "jaccard-groups")
+    first = worded.groupBy("key").agg(F.min(ranked).alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    others = worded.join(first, "key").filter(~(F.col("doc_id").eqNullSafe(F.col("first.b")) & (F.col("text_key") == F.col("first.c")))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    others = written(others.distinct(), "jaccard-others")
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    kept = keyed.join(F.broadcast(others) if others.count() <= BROADCAST_ROWS else others, same, "left_anti")
+    twice = worded.groupBy("doc_id", "text_key").count().filter("count > 1")
+    if twice.limit(1).count():  # rows that repeat id and text: one of them stays
+        with_words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)) > 0
+        kept = kept.filter(with_words).dropDuplicates(["doc_id", "_text_key"]).unionByName(kept.filter(~with_words))
+    return kept.select(*docs.columns)

@@ -11,6 +11,9 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -25,50 +28,50 @@ from .common import written
 SIZE, END = 4096, 1
 #: Patterns fitted at most, sweeps of the fit, words kept by a worker's memo, rows of one length ranked in one task.
 PATTERNS, SWEEPS, MEMO, PER_TASK = 40_000, 25, 1_000_000, 5_000
+#: Bytes of text whose words are looked up together; packers of short id lists.
+CHUNK, PACKS = 1 << 20, [struct.Struct(f"<{n}I").pack for n in range(64)]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: A full stop or comma after a letter and before white space is a token sequence of its own.
+MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|\Z)")
+
+
 class Tokens:
     """Token ids of white-space separated words, remembered.
 
-    ASCII white space always ends a token of this vocabulary's pre-tokenizer, so a text's ids are its words' ids. Of a word of
-    letters, case (ASCII) and one mark after it don't change the other ids.
+    ASCII white space always ends a token of this vocabulary's pre-tokenizer, so a text's ids are its words' ids. Its normalizer
+    lowers letters, so ASCII ones may be lowered before, except near the special tokens' brackets.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
 
-    def learn(self, words: set[bytes], all_words: list[bytes]) -> None:
-        if len(self.memo) + 2 * len(words) > MEMO:
-            self.memo.clear()
-            words = set(all_words)
-        parts = {}
-        for w in words:
-            head, mark = (w[:-1], w[-1:]) if w[-1:] in (b".", b",") and w[:-1].decode().isalpha() else (w, b"")
-            parts[w] = (head.lower() if head.isalpha() else head, mark)
-        new = [p for p in {p for both in parts.values() for p in both if p} if p not in self.memo]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self.memo[p] = np.array(e.ids, "<u4").tobytes()
-        for w, (head, mark) in parts.items():
-            self.memo[w] = self.memo[head] + (self.memo[mark] if mark else b"")
-
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        group: list[list[bytes]] = []
+        size = 0
         for text in texts:
-            yield b"".join(map(self.ids, self._parts(text.split())))
-
-    @staticmethod
-    def _parts(words: list[bytes]) -> Iterator[list[bytes]]:
-        """A text's words in parts whose words fit into the memo."""
-        return (words[at : at + MEMO // 4] for at in range(0, len(words), MEMO // 4))
-
-    def ids(self, words: list[bytes]) -> bytes:
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:
-            self.learn({w for w in words if w not in self.memo}, words)
-            return b"".join(map(self.memo.__getitem__, words))
+            group.append((text if b"<|" in text else MARK.sub(rb" \1", text.lower())).split())
+            size += len(text)
+            if size > CHUNK:
+                yield from self._ids(group)
+                group, size = [], 0
+        yield from self._ids(group)
+
+    def _ids(self, group: list[list[bytes]]) -> Iterator[bytes]:
+        words = set().union(*group)
+        new = list(words.difference(self.memo))
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = list(words)
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        self.memo.update((w, PACKS[len(i)](*i) if len(i := e.ids) < len(PACKS) else np.array(i, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+        for each in group:
+            yield b"".join(map(self.memo.__getitem__, each))
 
 
 @cache
