@@ -17,7 +17,7 @@ def matches(pattern: str, key: Column) -> Column:
     parts, want = segments(key), pattern.split(".")
     out = F.size(parts) == len(want)
     for i, p in enumerate(want):
-        own = parts[i]
+        own = F.get(parts, F.lit(i))
         test = (own != "") if p.startswith("{") else (own == p)
         out &= test & (own != SHARED) if p == "{app}" else test
     return F.coalesce(out, F.lit(False))
@@ -32,7 +32,7 @@ def matches_any(patterns: tuple[str, ...], key: Column) -> Column:
 
 def app_id(key: Column) -> Column:
     """The first segment; null for Shared."""
-    return F.nullif(segments(key)[0], F.lit(SHARED))
+    return F.nullif(F.get(segments(key), F.lit(0)), F.lit(SHARED))
 
 
 def app_agrees(key: Column, given: Column) -> Column:

@@ -39,7 +39,7 @@ def fact_columns(facts: DataFrame, names: set[str]) -> DataFrame:
     facts: key, value. The Shared row is one row, whatever the number of applications.
     """
     parts = keys.segments(F.col("key"))
-    two = facts.filter(F.size(parts) == 2).select(parts[0].alias("app_id"), parts[1].alias("fact"), "value")
+    two = facts.filter(F.size(parts) == 2).select(F.get(parts, F.lit(0)).alias("app_id"), F.get(parts, F.lit(1)).alias("fact"), "value")
     pick = lambda n: F.max(F.when(F.col("fact") == n, F.col("value"))).alias(n)
     own, shared = sorted(names - SHARED_FACTS), sorted(names & SHARED_FACTS)
     apps = two.filter((F.col("app_id") != SHARED) & F.col("fact").isin(*own)).groupBy("app_id").agg(*map(pick, own))

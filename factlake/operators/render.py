@@ -112,9 +112,10 @@ def render_markdown(outputs: DataFrame, doc_type: str) -> tuple[DataFrame, DataF
     """
     if doc_type not in DOCUMENTS:
         raise RenderError(f"no document type {doc_type!r}; there are {', '.join(DOCUMENTS)}")
-    s = keys.segments(F.col("key"))
+    parts = keys.segments(F.col("key"))
+    s = [F.get(parts, F.lit(i)) for i in range(4)]
     mine = outputs.filter((s[1] == "Outputs") & (s[2] == doc_type)).withColumn("app_id", s[0])
-    kind = F.when(F.size(s) == 3, "body").when((F.size(s) == 4) & (s[3] == "DocumentControl"), "control").when((F.size(s) == 4) & (s[3] == "RevisionHistory"), "history")
+    kind = F.when(F.size(parts) == 3, "body").when((F.size(parts) == 4) & (s[3] == "DocumentControl"), "control").when((F.size(parts) == 4) & (s[3] == "RevisionHistory"), "history")
     mine = mine.withColumn("kind", kind)
     pick = lambda k: F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k)
     wide = mine.groupBy("app_id").agg(pick("control"), pick("history"), pick("body"))

@@ -62,7 +62,7 @@ def normal(model: Model, v: Column) -> Column:
         if f.kind == "items":
             inner = F.to_variant_object(F.transform(list_in(own), lambda x: normal(MODELS[f.item], x)))
         elif f.kind == "item":
-            inner = normal(MODELS[f.item], own)
+            inner = F.when(is_object(own), normal(MODELS[f.item], own)).otherwise(F.coalesce(own, _default(f)))
         else:
             inner = F.coalesce(own, _default(f))
         members.append(inner.alias(f.name))

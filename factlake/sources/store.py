@@ -34,7 +34,7 @@ def store_path(spark: SparkSession) -> str:
 
 
 def _pointer(spark: SparkSession, table: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store_path(spark)}/{table}/_current")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{store_path(spark)}/{table}/CURRENT")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
