@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +39,54 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(df: DataFrame, *names: str) -> DataFrame:
+    """Columns ``names`` of df, and the whole row as ``_row``: so own columns can't clash with those that an operator adds."""
+    return df.select(*[F.col(f"`{n}`") for n in names], F.struct("*").alias("_row"))
+
+
+def restored(df: DataFrame, columns: list[str], **changed: Column) -> list[Column]:
+    """The columns of a carried row, some of them changed."""
+    return [changed.get(c, F.col("_row").getField(c)).alias(c) for c in columns]
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text column, a null one as empty."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int = 0, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that a text column holds about ``size`` bytes in each (a longer text comes alone)."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+        release()
+
+
+@cache
+def _allocator():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def release() -> None:
+    """Gives memory that a worker has freed back to the machine, where it counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    _allocator()(0)
+
+
+def lean(group: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of a group's table that releases memory after each group."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        out = group(rows)
+        release()
+        return out
+
+    return run

@@ -10,7 +10,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 #: A random number for each byte, and the same with A-Z as a-z.

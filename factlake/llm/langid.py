@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried, restored, slices, written
+
 #: Units a direction, bytes a window, windows a step of the network on executors.
 UNITS, WINDOW, TOGETHER = 8, 64, 1024
 #: Training: documents at most, windows a document, windows a batch, steps, learning rate.
@@ -178,7 +180,7 @@ def predicted(docs: DataFrame, net: Network | None, kinds: list[str], *keep: str
     """Columns ``keep`` of docs, lang_pred and score."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             found = probabilities(net, [t.encode() if LETTER.search(t) else b"" for t in texts]) if net else np.zeros((len(texts), 1))
             best, score = found.argmax(1) if len(texts) else [], found.max(1) if len(texts) else []
@@ -196,8 +198,19 @@ def identified(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     return predicted(docs, net, kinds, "doc_id").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+#: Tables of at most this many rejected documents (two numbers each) are broadcast to the texts.
+BROADCAST_ROWS = 300_000
+
+
 def accepted(docs: DataFrame, least: float = 0.4, most: int = SAMPLE) -> DataFrame:
-    """``docs`` without the documents whose language can't be told: ``und``, or a pooled probability below ``least``."""
+    """``docs`` without the documents whose language can't be told: ``und``, or a pooled probability below ``least``.
+
+    The network only names the rejected ones, by id and text hash; the documents themselves don't pass through Python.
+    """
     net, kinds = learned(sample(docs, most))
-    names = docs.columns
-    return predicted(docs, net, kinds, *names).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)
+    keyed = carried(docs, "doc_id", "text").withColumns({"_id": F.col("doc_id").cast("long"), "_text_key": F.xxhash64(F.col("text").cast("string"))})
+    rejected = predicted(keyed, net, kinds, "_id", "_text_key").filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
+    rejected = written(rejected.select(F.col("_id").alias("_gone"), F.col("_text_key").alias("_gone_key")).distinct(), "language-rejected")
+    same = keyed["_id"].eqNullSafe(F.col("_gone")) & (keyed["_text_key"] == F.col("_gone_key"))
+    kept = keyed.join(F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected, same, "left_anti")
+    return kept.select(*restored(kept, docs.columns))

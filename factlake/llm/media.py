@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 # Fixed values of the format (ISO/IEC 11172-3 and 13818-3): kbit/s by bitrate index, Hz by sampling index, samples a frame.
 RATES = {
     (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -201,7 +203,7 @@ def payload(stream: Stream) -> bytes:
 
 
 def described(df: DataFrame, column: str = "media") -> DataFrame:
-    """``df`` with ``column`` (binary) parsed: duration_samples, sample_rate, seek_offsets, checksums good and bad, skipped bytes, tags."""
+    """``df`` with ``column`` (binary) parsed (columns of these names are replaced): duration_samples, sample_rate, seek_offsets, checksums good and bad, skipped bytes, tags."""
     fields = "duration_samples long, sample_rate int, seek_offsets array<long>, checksums_good long, checksums_bad long, skipped_bytes long, tags map<string,string>"
 
     @F.pandas_udf(fields)
@@ -211,7 +213,8 @@ def described(df: DataFrame, column: str = "media") -> DataFrame:
         rows = [None if m is None else parse(bytes(m)) for m in media]
         return pd.DataFrame([(None,) * 7 if s is None else (s.samples, s.hertz, s.offsets, s.good, s.bad, s.skipped, s.tags) for s in rows], columns=[f.split()[0] for f in fields.split(", ")])
 
-    return df.withColumn("_audio", read(F.col(column).cast("binary"))).select("*", "_audio.*").drop("_audio")
+    own = [f.split()[0] for f in fields.split(", ")]
+    return df.drop(*own).withColumn("_audio", read(F.col(column).cast("binary"))).select("*", "_audio.*").drop("_audio")
 
 
 def _padded(text: str | None) -> tuple[int, bytes]:
@@ -238,7 +241,7 @@ def digest(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         names = [f.split()[0] for f in DIGEST.split(", ")]
-        for batch in batches:
+        for batch in slices(batches, 1):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 n, media = (lambda n, p: (n, store(p)))(*_padded(text.as_py()))

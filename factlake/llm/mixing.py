@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_of, written
+from .common import WORD, carried, restored, text_of, written
 
 HEX = 3
 SHARDS = 16
@@ -152,15 +152,14 @@ def draws(docs: DataFrame, sizes: DataFrame, share: float = 1.5, cap: float = 2.
     return plain.unionByName(single)
 
 
-def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: a row for each time a document is taken, with the columns of ``docs`` and its shard and place in the shard's order (``_shard``, ``_order``)."""
+def mixed(docs: DataFrame, places: bool = True, **settings) -> DataFrame:
+    """The mix itself: a row for each time a document is taken, with the columns of ``docs`` and, if asked for, its shard and place in the shard's order (``_shard``, ``_order``)."""
     seed = settings.get("seed", "mix")
-    names = docs.columns
-    whole = sized(docs, seed)
+    whole = sized(carried(docs, "doc_id", "text", "source"), seed)
     sizes = written(whole.select("_source", "_block", "_size"), "mix-sizes")
     out = draws(whole, sizes, **settings).withColumn("_draw", F.explode("_draws"))
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col("_draw.shard"), F.col("_draw.pass"), "_perm"))
-    return out.select(*names, F.col("_draw.shard").alias("_shard"), order.alias("_order"))
+    return out.select(*restored(out, docs.columns), *([F.col("_draw.shard").alias("_shard"), order.alias("_order")] if places else []))
 
 
 def digest(docs: DataFrame, **settings) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 
 SIZE, END = 4096, 1
 #: Patterns fitted at most, sweeps of the fit, words kept by a worker's memo, rows of one length ranked in one task.
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> Data
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, tail = _tokens(path), np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows: list[list] = [[], [], [], [], []]
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), tokens.of(texts), strict=True):

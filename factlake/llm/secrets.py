@@ -20,7 +20,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import carried, restored, text_of, written
 
 #: Candidate tables of at most this many rows (under 100 bytes each) are broadcast to the texts; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -188,8 +188,7 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every span replaced by ``mask`` (overlapping spans by one) and n_chars counted anew where a text changed."""
-    names = docs.columns
-    rows = scanned(docs, rules)
+    rows = scanned(carried(docs, "doc_id", "text"), rules)
     text = text_of(rows)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -201,10 +200,10 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]", rules: tuple[Rule, ...] =
     done = F.aggregate("_spans", start, step)
     rows = rows.withColumn("_done", F.when(F.size("_spans") > 0, done))
     rest = F.substring(text, (F.col("_done.at") + 1).cast("int"), F.char_length(text))
-    rows = rows.withColumn("text", F.when(F.col("_done").isNull(), F.col("text")).otherwise(F.concat("_done.out", rest)))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("_done").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return rows.select(*names)
+    new = F.concat("_done.out", rest)
+    was = lambda name, then: F.when(F.col("_done").isNull(), F.col("_row").getField(name)).otherwise(then)
+    changed = {"text": was("text", new)} | ({"n_chars": was("n_chars", F.char_length(new).cast("long"))} if "n_chars" in docs.columns else {})
+    return rows.select(*restored(rows, docs.columns, **changed))
 
 
 def _sql_spans(i: int, rule: Rule) -> str:
