@@ -24,7 +24,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document that the mix takes twice is there twice."""
-    return mixing.mixed(docs).select(*docs.columns)
+    return mixing.mixed(docs, places=False)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
