@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -32,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
-from .hashing import U, chunks, mixed, prefix, window
+from .common import lean, slices, written
+from .hashing import BASE, U, chunks, mixed, prefix, window
 
 LENGTH, STEP = 50, 20
 #: Anchors or windows of a hash range; bytes of verdicts that are broadcast at most.
-RANGE, BROADCAST_BYTES = 2_000_000, 64 << 20
+RANGE, BROADCAST_BYTES = 1_200_000, 10 << 20
 LAST = (1 << 63) - 1
 GONE, LOOK = 1, 2
 PART = "part int, keys binary, ids binary, counts binary, first binary, second binary"
@@ -87,7 +89,8 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, Anchors]
 
 
 def _place(rank: np.ndarray, parts: int) -> np.ndarray:
-    return ((rank >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+    """The hash range of each rank; ranks are spread anew, since anchors have the lowest of theirs."""
+    return ((mixed(rank ^ BASE) >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -128,7 +131,7 @@ def _columns(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray
 
 def _first_ranks(parts: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, keys, ids = _once(*_columns(batch))
             found = [a for *_, a in anchors(texts)]
             if found:
@@ -153,20 +156,44 @@ def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate((np.ones(min(len(sorted_keys[0]), 1), bool), new)))
 
 
-def _flagged(part: int, keys: np.ndarray, nth: np.ndarray, flags: np.ndarray) -> pa.Table:
-    """The flags other than zero by text: places in the text's order, and flags."""
+FLAGS = "bucket int, part int, keys binary, counts binary, places binary, flags binary"
+
+
+def _flagged(part: int, keys: np.ndarray, nth: np.ndarray, flags: np.ndarray, buckets: int) -> pa.Table:
+    """The flags other than zero of a hash range: a row per bucket of texts, with each text's places (in its own order) and flags."""
     some = flags > 0
     keys, nth, flags = keys[some], nth[some], flags[some]
-    order = np.lexsort((nth, keys))
-    keys, nth, flags = keys[order], nth[order], flags[order]
+    bucket = _place(keys.view(np.uint64), buckets)
+    order = np.lexsort((nth, keys, bucket))
+    keys, nth, flags, bucket = keys[order], nth[order], flags[order], bucket[order]
     once = _starts(keys, nth)
-    keys, nth, flags = keys[once], nth[once], flags[once]
-    at = np.append(_starts(keys), len(keys))
-    pieces = list(zip(at[:-1], at[1:], strict=True))
-    return pa.table({"text_key": pa.array(keys[at[:-1]], pa.int64()), "part": pa.array([part] * len(pieces), pa.int32()), "places": pa.array([nth[a:b].astype(np.uint32).tobytes() for a, b in pieces], pa.binary()), "flags": pa.array([flags[a:b].tobytes() for a, b in pieces], pa.binary()), "look": pa.array([bool((flags[a:b] == LOOK).any()) for a, b in pieces], pa.bool_())})
+    keys, nth, flags, bucket = keys[once], nth[once], flags[once], bucket[once]
+    text = _starts(keys)
+    counts = np.diff(np.append(text, len(keys)))
+    rows = []
+    for b in np.unique(bucket).tolist():
+        low, high = np.searchsorted(bucket, (b, b + 1))
+        own = slice(*np.searchsorted(text, (low, high)))
+        rows.append((b, part, keys[text[own]].tobytes(), counts[own].astype(np.uint32).tobytes(), nth[low:high].astype(np.uint32).tobytes(), flags[low:high].tobytes()))
+    return pa.table({f.split()[0]: pa.array([r[i] for r in rows], pa.int32() if i < 2 else pa.binary()) for i, f in enumerate(FLAGS.split(", "))})
 
 
-def _ranked_pairs(table: pa.Table) -> pa.Table:
+def _gathered(table: pa.Table) -> pa.Table:
+    """All hash ranges' flags of a bucket of texts, as one row per text."""
+    joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
+    counts, places, flags = joined("counts", np.uint32), joined("places", np.uint32), joined("flags", np.uint8)
+    keys = np.repeat(joined("keys", np.int64), counts)
+    part = np.repeat(np.array(table["part"].to_pylist(), np.uint32), [len(x) for x in table["flags"].to_pylist()])
+    order = np.lexsort((places, part, keys))
+    keys, part, places, flags = keys[order], part[order], places[order], flags[order]
+    at = _starts(keys)
+    cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=True))
+    look = np.maximum.reduceat(flags, at) == LOOK if len(at) else np.zeros(0, bool)
+    own = {n: [x[a:b].tobytes() for a, b in cuts] for n, x in (("parts", part), ("places", places), ("flags", flags))}
+    return pa.table({"text_key": pa.array(keys[at], pa.int64()), "own": pa.array([dict(zip(own, v, strict=True)) for v in zip(*own.values(), strict=True)], pa.struct([(n, pa.binary()) for n in own])), "look": pa.array(look)})
+
+
+def _ranked_pairs(table: pa.Table, buckets: int) -> pa.Table:
     """Steps 1 and 2 in a hash range."""
     keys, ids, nth = _unpacked(table)
     rank, stretch = (np.concatenate([_eight(x) for x in table[c].to_pylist()]) for c in ("first", "second"))
@@ -184,16 +211,16 @@ def _ranked_pairs(table: pa.Table) -> pa.Table:
     keys, ids, nth, rank, stretch = (x[order] for x in (keys, ids, nth, rank, stretch))
     pair, string = _starts(rank, stretch), _starts(rank)
     if not len(pair):
-        return _flagged(0, keys, nth, np.zeros(0, np.uint8))
+        return _flagged(0, keys, nth, np.zeros(0, np.uint8), buckets)
     earliest = np.repeat(np.minimum.reduceat(ids, pair), np.diff(np.append(pair, len(ids))))
     pairs = np.searchsorted(pair, np.append(string, len(ids)))
     low, high = np.minimum.reduceat(ids[pair], pairs[:-1]), np.maximum.reduceat(ids[pair], pairs[:-1])
     differ = np.repeat((np.diff(pairs) > 1) & (low != high), np.diff(np.append(string, len(ids))))
     flags = np.where(ids > earliest, GONE, np.where(differ, LOOK, 0)).astype(np.uint8)
-    return _flagged(table["part"][0].as_py(), keys, nth, flags)
+    return _flagged(table["part"][0].as_py(), keys, nth, flags, buckets)
 
 
-def _ranked_windows(table: pa.Table) -> pa.Table:
+def _ranked_windows(table: pa.Table, buckets: int) -> pa.Table:
     """Step 3 in a hash range."""
     keys, ids, nth = _unpacked(table)
     rank = np.concatenate([np.frombuffer(x, np.uint64) for x in table["first"].to_pylist()])
@@ -201,34 +228,30 @@ def _ranked_windows(table: pa.Table) -> pa.Table:
     rank, ids = rank[order], ids[order]
     at = _starts(rank)
     flags = (ids > np.repeat(ids[at], np.diff(np.append(at, len(ids))))).astype(np.uint8) * GONE
-    return _flagged(table["part"][0].as_py(), keys[order], nth[order], flags)
-
-
-FLAGS = "text_key long, part int, places binary, flags binary, look boolean"
+    return _flagged(table["part"][0].as_py(), keys[order], nth[order], flags, buckets)
 
 
 def _by_text(flags: DataFrame, name: str) -> DataFrame:
-    """One row per text: its hash ranges' flags (a text has at most one entry per hash range)."""
-    return flags.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("part", "places", "flags"))).alias(name), F.max("look").alias("look"))
+    """One row per text with its flags of all hash ranges."""
+    return flags.groupBy("bucket").applyInArrow(lean(_gathered), "text_key long, own struct<parts:binary,places:binary,flags:binary>, look boolean").withColumnRenamed("own", name)
 
 
 def _with(docs: DataFrame, info: DataFrame, names: list[str]) -> DataFrame:
-    size = info.agg(F.sum(sum((F.coalesce(F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + 40 + F.octet_length(x["places"]) + F.octet_length(x["flags"])), F.lit(0)) for n in names), F.lit(64)))).first()[0] or 0
+    size = info.agg(F.sum(sum((F.coalesce(9 * F.octet_length(F.col(n)["flags"]), F.lit(0)) for n in names), F.lit(64)))).first()[0] or 0
     return docs.join(F.broadcast(info) if size <= BROADCAST_BYTES else info, "text_key", "left")
 
 
-def _filled(place: np.ndarray, owner: np.ndarray, flags: dict[int, list], parts: int) -> np.ndarray:
+def _filled(place: np.ndarray, owner: np.ndarray, flags: dict[int, dict], parts: int) -> np.ndarray:
     """The verdict of each rank, put back by the order that _parts() used; flags: by owner."""
     out = np.zeros(len(place), np.uint8)
-    order = np.lexsort((np.arange(len(place)), place, owner))
-    start = {}
-    at = _starts(owner[order], place[order])
-    for a in at.tolist():
-        start[int(owner[order[a]]), int(place[order[a]])] = a
-    for text, entries in flags.items():
-        for e in entries:
-            if (a := start.get((text, e["part"]))) is not None:
-                out[order[a + np.frombuffer(e["places"], np.uint32).astype(np.int64)]] = np.frombuffer(e["flags"], np.uint8)
+    if not flags or not len(place):
+        return out
+    code = owner.astype(np.int64) * parts + place
+    order = np.argsort(code, kind="stable")
+    joined = lambda name, kind: [np.frombuffer(f[name], kind) for f in flags.values()]
+    said = joined("flags", np.uint8)
+    wanted = np.repeat(np.fromiter(flags, np.int64), [len(x) for x in said]) * parts + np.concatenate(joined("parts", np.uint32))
+    out[order[np.searchsorted(code[order], wanted) + np.concatenate(joined("places", np.uint32))]] = np.concatenate(said)
     return out
 
 
@@ -242,7 +265,7 @@ def _windows(a: Anchors, look: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _second_ranks(parts: int, window_parts: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, keys, ids = _columns(batch)
             verdicts = batch.column(3).to_pylist()
             owners, ranks = [], []
@@ -263,7 +286,7 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 
 def _final(parts: int, window_parts: int, spans: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, _, ids = _columns(batch)
             verdicts, seconds, least = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()
             copy = [l is not None and l < i for l, i in zip(least, ids.tolist(), strict=True)]
@@ -300,9 +323,11 @@ def _final(parts: int, window_parts: int, spans: bool):
 
 
 def _forget(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are written: they go when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of steps whose results are written: its cleaner follows the driver's garbage collections."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def removed(docs: DataFrame, spans: bool = True) -> DataFrame:
@@ -311,7 +336,7 @@ def removed(docs: DataFrame, spans: bool = True) -> DataFrame:
     rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"), F.col("doc_id").cast("long").alias("doc_id"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // (RANGE * (LENGTH - STEP + 2) // 2)))
-    flags = rows.filter(F.octet_length("text") >= LENGTH).mapInArrow(_first_ranks(parts), PART).groupBy("part").applyInArrow(_ranked_pairs, FLAGS)
+    flags = rows.filter(F.octet_length("text") >= LENGTH).mapInArrow(_first_ranks(parts), PART).groupBy("part").applyInArrow(lean(partial(_ranked_pairs, buckets=parts)), FLAGS)
     flags = written(_by_text(flags, "flags"), "suffix-pairs")
     _forget(spark)
     copies = rows.filter("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -319,7 +344,7 @@ def removed(docs: DataFrame, spans: bool = True) -> DataFrame:
     looks = info.filter("look").select("text_key", "flags", "least_id")
     # Only the earliest document of each text stands for it.
     asked = _with(rows, looks, ["flags"]).filter(F.col("flags").isNotNull() & (F.col("least_id").isNull() | (F.col("doc_id") == F.col("least_id"))))
-    seen = asked.select("text", "text_key", "doc_id", "flags").mapInArrow(_second_ranks(parts, parts), PART).groupBy("part").applyInArrow(_ranked_windows, FLAGS)
+    seen = asked.select("text", "text_key", "doc_id", "flags").mapInArrow(_second_ranks(parts, parts), PART).groupBy("part").applyInArrow(lean(partial(_ranked_windows, buckets=parts)), FLAGS)
     seen = written(_by_text(seen, "again"), "suffix-windows")
     _forget(spark)
     every = written(info.drop("look").join(seen.drop("look"), "text_key", "left"), "suffix-verdicts")
