@@ -50,8 +50,11 @@ def targets(blocks: DataFrame, share: float, cap: float, weights: tuple[int, ...
     return src.select("_source", "_ssize", "_target", passes.alias("_passes"), F.round(F.col("_target") - passes * F.col("_ssize")).cast("long").alias("_left"))
 
 
-def filled(rows: DataFrame, size: str, order: str, taken: str) -> DataFrame:
-    """Marks rows of each source, in order, whose sizes fit into ``_left``: ROUNDS prefixes, each of what still fits."""
+def filled(rows: DataFrame, size: str, order: str, taken: str, nearest: bool = False) -> DataFrame:
+    """Marks rows of each source, in order, whose sizes fit into ``_left``: ROUNDS prefixes, each of what still fits.
+
+    nearest: and at last the smallest row left, if that comes nearer than leaving it.
+    """
     source = Window.partitionBy("_source")
     so_far = source.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn(taken, F.lit(False))
@@ -60,7 +63,12 @@ def filled(rows: DataFrame, size: str, order: str, taken: str) -> DataFrame:
         rows = rows.withColumn("_cum", F.when(fits, F.sum(F.when(fits, F.col(size))).over(so_far)))
         now = F.col("_cum") <= F.col("_left")
         rows = rows.withColumns({taken: F.col(taken) | F.coalesce(now, F.lit(False)), "_left": F.col("_left") - F.coalesce(F.max(F.when(now, F.col("_cum"))).over(source), F.lit(0))})
-    return rows.drop("_cum")
+    rows = rows.drop("_cum")
+    if nearest:
+        out = F.col(taken) | (F.col(size) <= 0)
+        smallest = F.row_number().over(source.orderBy(out, size, order)) == 1
+        rows = rows.withColumn(taken, F.col(taken) | (smallest & ~out & (F.col(size) < 2 * F.col("_left"))))
+    return rows
 
 
 def _let(value: Column, then) -> Column:
@@ -129,8 +137,8 @@ def draws(docs: DataFrame, sizes: DataFrame, share: float = 1.5, cap: float = 2.
     # What is left is chosen, or what is left out, whichever is less: so the last step is a small document either way.
     known = known.withColumn("_flip", F.col("_left") * 2 > F.col("_ssize")).withColumn("_left", F.least("_left", F.col("_ssize") - F.col("_left")))
     marked = filled(known, "_bsize", "_block", "_chosen")
-    spare = Window.partitionBy("_source").orderBy("_chosen", F.col("_bsize").desc(), "_block")
-    marked = marked.withColumn("_partly", (F.row_number().over(spare) == 1) & ~F.col("_chosen") & (F.col("_left") > 0))
+    spare = Window.partitionBy("_source").orderBy(F.col("_chosen") | (F.col("_bsize") <= 0), "_bsize", "_block")
+    marked = marked.withColumn("_partly", (F.row_number().over(spare) == 1) & ~F.col("_chosen") & (F.col("_bsize") > 0) & (F.col("_left") > 0))
     marked = marked.withColumn("_more", (F.col("_chosen") != F.col("_flip")) & ~F.col("_partly"))
     # One row per block and pass; the pass after the whole ones takes the marked blocks, and of one block single documents.
     part = lambda n, partly: F.struct(n.cast("int").alias("pass"), partly.alias("partly"))
@@ -147,7 +155,7 @@ def draws(docs: DataFrame, sizes: DataFrame, share: float = 1.5, cap: float = 2.
     simple = lambda keep: F.transform(F.filter("_all", keep), lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard")))
     open_block = F.exists("_all", lambda d: d["partly"])
     plain = rows.filter(~open_block).withColumn("_draws", simple(lambda d: ~d["partly"])).drop("_all", "_left", "_flip")
-    single = filled(rows.filter(open_block), "_size", "_perm", "_one")
+    single = filled(rows.filter(open_block), "_size", "_perm", "_one", nearest=True)
     single = single.withColumn("_draws", F.when(F.col("_one") != F.col("_flip"), simple(lambda d: F.lit(True))).otherwise(simple(lambda d: ~d["partly"]))).drop("_all", "_left", "_flip", "_one")
     return plain.unionByName(single)
 
@@ -193,11 +201,12 @@ s AS (SELECT *, CAST(CASE WHEN ssize > 0 THEN floor(target / ssize) ELSE 0 END A
 b0 AS (SELECT b.*, ssize, target, passes, CAST(round(target - passes * ssize) AS BIGINT) AS lft FROM b JOIN s USING (src)),
 bs AS (SELECT * REPLACE (least(lft, ssize - lft) AS lft), lft * 2 > ssize AS flip FROM b0),
 {_fill_sql("bs", "bsize", "block", "chosen", "f")},
-m0 AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY chosen, bsize DESC, block) = 1 AND NOT chosen AND lft > 0 AS partly FROM f{ROUNDS}),
+m0 AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY chosen OR bsize <= 0, bsize, block) = 1 AND NOT chosen AND bsize > 0 AND lft > 0 AS partly FROM f{ROUNDS}),
 m AS (SELECT *, chosen <> flip AND NOT partly AS more FROM m0),
 dd AS (SELECT d.doc_id, d.src, d.size, d.perm, m.ssize, m.target, m.passes, m.more, m.partly, m.flip, m.lft FROM d JOIN m ON d.src = m.src AND d.perm[1:{HEX}] = m.block),
 op AS (SELECT * FROM dd WHERE partly),
-{_fill_sql("op", "size", "perm", "one", "g")}
+{_fill_sql("op", "size", "perm", "one", "g")},
+gn AS (SELECT * REPLACE (one OR (row_number() OVER (PARTITION BY src ORDER BY one OR size <= 0, size, perm) = 1 AND NOT one AND size > 0 AND size < 2 * lft) AS one) FROM g{ROUNDS})
 SELECT doc_id, size, ssize AS source_size, target, size * (passes + CASE WHEN more THEN 1 ELSE 0 END) AS taken FROM dd WHERE NOT partly
-UNION ALL SELECT doc_id, size, ssize, target, size * (passes + CASE WHEN one <> flip THEN 1 ELSE 0 END) FROM g{ROUNDS}
+UNION ALL SELECT doc_id, size, ssize, target, size * (passes + CASE WHEN one <> flip THEN 1 ELSE 0 END) FROM gn
 """
