@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, slices, written
+from .common import carried, lean, restored, slices, written
 from .components import connected
 from .hashing import BASE, FOLDED, SPACE, U, chunks, mixed, powers, prefix, window
 from .jaccard import _tree_links
@@ -70,7 +71,8 @@ def _anchors(shingles: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
         least = np.minimum(least[: len(least) - (SPREAD - reach)], least[SPREAD - reach :])
         at = np.arange(len(least))
         text = np.searchsorted(high, at, "right")
-        found.append(least[at + SPREAD <= high[np.minimum(text, len(high) - 1)]])
+        text = np.minimum(text, len(high) - 1)
+        found.append(least[(at >= low[text]) & (at + SPREAD <= high[text])])
     found += [key[a:b].min(keepdims=True) for a, b in zip(low, high, strict=True) if 0 < b - a < SPREAD]
     return np.unique((np.concatenate(found) & U(0xFFFFFFFF)).astype(np.int64))
 
@@ -140,7 +142,7 @@ def _band_keys(parts: int, many: int):
     return rows
 
 
-def _collisions(table: pa.Table) -> pa.Table:
+def _collisions(table: pa.Table, buckets: int) -> pa.Table:
     """In a hash range: paragraphs with a band key of another text (GONE: of equal words only; LOOK: of other words)."""
     keys, _, nth = _unpacked(table)
     band, words = (np.concatenate([_eight(x) for x in table[c].to_pylist()]) for c in ("first", "second"))
@@ -151,7 +153,7 @@ def _collisions(table: pa.Table) -> pa.Table:
     several = np.repeat(np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at), spread)
     differ = np.repeat(np.minimum.reduceat(said, at) != np.maximum.reduceat(said, at), spread)
     flags = np.where(several, np.where(differ, LOOK, GONE), 0).astype(np.uint8)
-    return _flagged(table["part"][0].as_py(), own, nth[order], flags)
+    return _flagged(table["part"][0].as_py(), own, nth[order], flags, buckets)
 
 
 def _verdicts(p: Paragraphs, first: int, verdicts: list, whole: list, parts: int, many: int) -> np.ndarray:
@@ -201,7 +203,7 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"), F.col("doc_id").cast("long").alias("doc_id"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total * many // (RANGE * 7 * SPREAD // 2)))
-    flags = rows.filter(F.octet_length("text") >= 2 * WORDS - 1).mapInArrow(_band_keys(parts, many), PART).groupBy("part").applyInArrow(lean(_collisions), FLAGS)
+    flags = rows.filter(F.octet_length("text") >= 2 * WORDS - 1).mapInArrow(_band_keys(parts, many), PART).groupBy("part").applyInArrow(lean(partial(_collisions, buckets=parts)), FLAGS)
     flags = written(_by_text(flags, "flags"), "paragraph-flags")
     _forget(spark)
     copies = rows.groupBy("text_key").agg((F.count_distinct(F.coalesce("doc_id", F.lit(LAST))) > 1).alias("copied")).filter("copied")
@@ -236,5 +238,6 @@ def deduplicated(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     done = F.aggregate("_cuts", start, step)
     text = F.concat(F.array_join(done["out"], ""), F.substring(raw, (done["at"] + 1).cast("int"), F.octet_length("text")).cast("string"))
-    out = docs.join(cuts, docs["doc_id"].cast("long") == F.col("_id"), "left").withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(text))
-    return out.select(*docs.columns)
+    own = carried(docs, "doc_id", "text")
+    out = own.join(cuts, own["doc_id"].cast("long") == F.col("_id"), "left")
+    return out.select(*restored(out, docs.columns, text=F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(text)))
