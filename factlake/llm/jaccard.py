@@ -24,15 +24,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, carried, lean, restored, slices, written
 from .components import connected
-from .hashing import U, shingles
+from .hashing import U, mixed, shingles
 
 WORDS, LEAST = 5, 75
 #: Share of a set's shingles that step 2 looks at; shingles of a hash range; sets of a tree; sets below a tree node.
@@ -63,19 +64,24 @@ def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n (size of the set), set_key, text_key (a hash of the text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = [(len(s), key_of(s)) for s in shingles(_texts(batch, 1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.int64()), batch.column(2)], ["doc_id", "n", "set_key", "text_key"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text")).mapInArrow(rows, "doc_id long, n long, set_key long, text_key long")
 
 
+def _range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
+    """The hash range of each shingle; hashes are spread anew, for these may be the lowest only."""
+    return ((mixed(tokens) >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+
+
 def _ranged(tokens: list[np.ndarray], keys: list[int], ranges: int) -> Iterator[tuple]:
     """(range, keys, shingles of each key, shingles) for each hash range with shingles; order by key and shingle is kept."""
     sizes = np.array([len(t) for t in tokens], np.int64)
     flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(keys)), sizes)
-    place = ((flat >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+    place = _range_of(flat, ranges)
     order = np.argsort(place, kind="stable")
     flat, owner, place = flat[order], owner[order], place[order]
     every = np.array(keys, np.int64)
@@ -101,8 +107,11 @@ def _wide(low: bytes) -> np.ndarray:
 RANGED = "part int, keys binary, counts binary, tokens binary"
 
 
-def _shared_counts(table: pa.Table) -> pa.Table:
-    """Of a hash range: for each set key, how many of its shingles another key has too."""
+SHARED = "bucket int, keys binary, counts binary"
+
+
+def _shared_counts(table: pa.Table, buckets: int) -> pa.Table:
+    """Of a hash range: for each set key, how many of its shingles another key has too; a row per bucket of keys."""
     keys = np.concatenate([np.repeat(np.frombuffer(k, np.int64), np.frombuffer(c, np.uint32)) for k, c in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True)])
     tokens = np.concatenate([_wide(t) for t in table["tokens"].to_pylist()])
     order = np.argsort(tokens)
@@ -110,7 +119,19 @@ def _shared_counts(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
     several = np.minimum.reduceat(keys, first) != np.maximum.reduceat(keys, first)
     found, counts = np.unique(keys[np.repeat(several, np.diff(np.append(first, len(keys))))], return_counts=True)
-    return pa.table({"set_key": pa.array(found, pa.int64()), "shared": pa.array(counts, pa.int64())})
+    bucket = _range_of(found.view(np.uint64), buckets)
+    order = np.argsort(bucket, kind="stable")
+    found, counts, edges = found[order], counts[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    some = np.flatnonzero(np.diff(edges)).tolist()
+    own = lambda x: pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary())
+    return pa.table({"bucket": pa.array(some, pa.int32()), "keys": own(found), "counts": own(counts.astype(np.uint32))})
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """Of a bucket of keys: each key's sum over all hash ranges."""
+    joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
+    keys, at = np.unique(joined("keys", np.int64), return_inverse=True)
+    return pa.table({"set_key": pa.array(keys), "shared": pa.array(np.bincount(at, joined("counts", np.uint32), len(keys)).astype(np.int64))})
 
 
 def _suspects(docs: DataFrame, classes: DataFrame, total: int, words: int, least: int) -> DataFrame:
@@ -118,14 +139,15 @@ def _suspects(docs: DataFrame, classes: DataFrame, total: int, words: int, least
     ranges = max(1, -(-int(total * SHARE) // RANGE))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [s for s in shingles(_texts(batch, 0), words) if len(s)]
             low = [s[: int(_looked_at(np.int64(len(s)), least))] for s in found]
             out = list(_ranged(low, [key_of(s) for s in found], ranges))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))] + [pa.array([_low(x[3]) for x in out], pa.binary())], ["part", "keys", "counts", "tokens"])
 
     ranged = docs.select(F.col("text").cast("string")).mapInArrow(rows, RANGED)
-    shared = ranged.groupBy("part").applyInArrow(_shared_counts, "set_key long, shared long").groupBy("set_key").agg(F.sum("shared").alias("shared"))
+    shared = ranged.groupBy("part").applyInArrow(lean(partial(_shared_counts, buckets=ranges)), SHARED)
+    shared = shared.groupBy("bucket").applyInArrow(lean(_summed), "set_key long, shared long")
     n = F.col("n")
     need = F.ceil(n * least / 100)
     looked = F.least(n, F.greatest(n - need + 1, F.ceil(n * SHARE)))
@@ -139,7 +161,7 @@ def _whole_sets(docs: DataFrame, suspects: DataFrame, words: int) -> DataFrame:
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = list(shingles(_texts(batch, 0), words))
             yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["set_key", "n", "tokens"])
 
@@ -153,7 +175,7 @@ def _blocks(whole: DataFrame, total: int, least: int) -> DataFrame:
     ranges = max(1, -(-total // RANGE))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             out = list(_ranged([np.frombuffer(t, np.uint64) for t in batch.column(1).to_pylist()], batch.column(0).to_pylist(), ranges))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))] + [pa.array([x[3].tobytes() for x in out], pa.binary())], ["part", "keys", "counts", "tokens"])
 
@@ -166,14 +188,15 @@ def _blocks(whole: DataFrame, total: int, least: int) -> DataFrame:
         ends = np.cumsum(sizes)
         return pa.table({"set_key": pa.array(keys), "part": pa.array([table["part"][0].as_py()] * len(keys), pa.int32()), "often": pa.array([often[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)], pa.binary())})
 
-    counted = whole.select("set_key", "tokens").mapInArrow(spread, RANGED).groupBy("part").applyInArrow(count, "set_key long, part int, often binary")
+    counted = whole.select("set_key", "tokens").mapInArrow(spread, RANGED).groupBy("part").applyInArrow(lean(count), "set_key long, part int, often binary")
     counted = counted.groupBy("set_key").agg(F.sort_array(F.collect_list(F.struct("part", "often"))).alias("parts"))  # one entry per hash range
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             out_tokens, out_keys = [], []
             for key, raw, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 tokens, often = np.frombuffer(raw, np.uint64), np.frombuffer(b"".join(parts), np.uint16)
+                tokens = tokens[np.argsort(_range_of(tokens, ranges), kind="stable")]
                 order = np.lexsort((tokens, often))[: int(len(tokens) - _needed(len(tokens), least) + 1)]
                 order = order[often[order] > 1]
                 out_tokens.append(tokens[order].view(np.int64))
@@ -311,11 +334,11 @@ def one_of_each(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> Data
     first = worded.groupBy("key").agg(F.min(ranked).alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     others = worded.join(first, "key").filter(~(F.col("doc_id").eqNullSafe(F.col("first.b")) & (F.col("text_key") == F.col("first.c")))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     others = written(others.distinct(), "jaccard-others")
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
+    keyed = carried(docs, "doc_id", "text").withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
     kept = keyed.join(F.broadcast(others) if others.count() <= BROADCAST_ROWS else others, same, "left_anti")
     twice = worded.groupBy("doc_id", "text_key").count().filter("count > 1")
     if twice.limit(1).count():  # rows that repeat id and text: one of them stays
         with_words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)) > 0
         kept = kept.filter(with_words).dropDuplicates(["doc_id", "_text_key"]).unionByName(kept.filter(~with_words))
-    return kept.select(*docs.columns)
+    return kept.select(*restored(kept, docs.columns))
