@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
-from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,18 +73,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_main_text": op10_main_text,
 }
 ORACLES: dict[str, str] = {"op2_secrets": secrets.SQL, "op8_mixing": mixing.SQL}
-
-
-def _pipeline():
-    """corpus_pipeline, which is at the repository's top and may be absent."""
-    return import_module("corpus_pipeline") if find_spec("corpus_pipeline") else None
-
-
-def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = _pipeline()
-    return QUERIES | ({"pipeline": found.run} if found else {})
-
-
-def all_oracles() -> dict[str, str]:
-    found = _pipeline()
-    return ORACLES | ({"pipeline": found.ORACLE_SQL} if found and found.ORACLE_SQL else {})
