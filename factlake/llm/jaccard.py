@@ -38,6 +38,8 @@ from .hashing import U, mixed, shingles
 WORDS, LEAST = 5, 75
 #: Share of a set's shingles that step 2 looks at; shingles of a hash range; sets of a tree; sets below a tree node.
 SHARE, RANGE, CROWD, LEAF = 0.35, 2_000_000, 3000, 8
+#: Bits of a set's map at most: larger sets share bits more often, which the bound on overlaps allows for.
+MOST_BITS = 1 << 15
 #: Tables of at most this many rows (two numbers each) are broadcast to the texts.
 BROADCAST_ROWS = 300_000
 
@@ -215,12 +217,13 @@ class Tree:
 
     def __init__(self, tokens: list[np.ndarray]) -> None:
         sizes = np.array([len(t) for t in tokens], np.int64)
-        bits = max(256, 1 << int(4 * sizes.max() - 1).bit_length())
-        maps = np.zeros((len(tokens), bits), bool)
+        bits = min(MOST_BITS, max(256, 1 << int(4 * sizes.max() - 1).bit_length()))
+        packed, excess, row = np.zeros((len(tokens), bits // 8), np.uint8), sizes.copy(), np.zeros(bits, bool)
         for i, t in enumerate(tokens):
-            maps[i, (t & U(bits - 1)).astype(np.int64)] = True
-        excess = sizes - maps.sum(1)
-        self.levels = [(np.packbits(maps, axis=1).view(np.uint64), sizes, sizes, excess)]
+            row[:] = False
+            row[(t & U(bits - 1)).astype(np.int64)] = True
+            packed[i], excess[i] = np.packbits(row), sizes[i] - row.sum()
+        self.levels = [(packed.view(np.uint64), sizes, sizes, excess)]
         while len(self.levels[-1][1]) > 1:
             maps, low, high, excess = self.levels[-1]
             at = np.arange(0, len(low), LEAF)
