@@ -7,7 +7,8 @@ words included for comparison. A passage of ``2 * SPREAD + WORDS`` words or more
 1. Each paragraph's shingles get minima under several hash functions, ``ROWS`` to a band; as many bands as it takes that
    similar paragraphs (Jaccard ``LEAST`` per cent) share one with probability RECALL. Band keys are grouped by hash range.
 2. Paragraphs that share a band key with another text's are candidates. Equal paragraphs are one class; different ones that
-   collide are blocked, and exact Jaccard similarities are verified in each block (by the tree of the n-gram Jaccard join).
+   collide meet in each band key they share, and exact Jaccard similarities are verified there (by the tree of the n-gram
+   Jaccard join, which leaves out pairs that are connected already, and deals large groups out as pairs of parts).
 3. Verified links close to components; a component that reaches two documents keeps its paragraph in the smallest doc_id.
 
 Defined results: null text is empty; texts and paragraphs under ``WORDS`` words (paragraphs: ``SHORT``) are never repeated; a
@@ -213,9 +214,9 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     looks = info.filter("look").select("text_key", "flags")
     near = _with(rows, looks, ["flags"]).filter("flags is not null").select("text", "text_key", "doc_id", "flags")
     near = written(near.mapInArrow(_near(parts, many), "set_key long, bands array<long>, tokens binary").dropDuplicates(["set_key"]), "paragraph-near")
-    keyed = near.select("set_key", F.explode("bands").alias("band"))
-    star = keyed.groupBy("band").agg(F.min("set_key").alias("b"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    blocks = written(connected(keyed.join(star, "band").select(F.col("set_key").alias("a"), "b")), "paragraph-blocks")
+    keyed = near.select("set_key", F.explode("bands").alias("root"))
+    shared = keyed.groupBy("root").count().filter("count > 1").select("root")
+    blocks = written(keyed.join(shared, "root").select(F.col("set_key").alias("key"), "root"), "paragraph-bands")
     roots = connected(_tree_links(near.select("set_key", F.lit(0).alias("n"), "tokens"), blocks, least))
     rooted = found.join(roots.select(F.col("key").alias("class"), "root"), "class", "left").withColumn("component_id", F.coalesce("root", "class"))
     rooted = written(rooted.select("doc_id", "paragraph", "start", "end", "component_id"), "paragraph-rooted")
