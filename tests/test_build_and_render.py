@@ -3,7 +3,6 @@ from __future__ import annotations
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from factlake.functions.registry import FACTS, SAVERS, SHARED_FACTS
 from factlake.operators import build, render
