@@ -4,8 +4,8 @@ Exact: documents whose sets of word shingles have a Jaccard similarity of ``leas
 document gets the smallest doc_id that links reach. No pair is emitted for a group's sake:
 
 1. Each document's set gets a key; equal sets are one class from here on.
-2. Two linked sets share so much that, of the ``share`` of a set's shingles with the lowest hashes, a known number lies in the
-   other set too. Shingles are grouped by hash range; classes with fewer shared ones than that number drop out.
+2. Two linked sets share so much that, of the ``SHARE`` of a set's shingles with the lowest hashes, a known number lies in the
+   other set's lowest too, whatever its size. Shingles are grouped by hash range; classes with fewer shared ones than that number drop out.
 3. Of the others, shingles are counted. Linked sets share one of their rarest shingles (prefix filter); classes that share
    one, directly or through others, form a block.
 4. A block's sets hang in a signature tree: nodes hold the OR of their sets' bitmaps, the range of sizes and the most
@@ -54,6 +54,17 @@ def _looked_at(n, least: int = LEAST):
     return np.minimum(n, np.maximum(n - _needed(n, least) + 1, np.ceil(SHARE * n))).astype(np.int64)
 
 
+def _least_shared(n: int, least: int = LEAST) -> int:
+    """How many of the shingles that step 2 looks at a set of n shares, at least, with those of any linked set.
+
+    Whichever of two linked sets is cut off at the lower hash, what it looks at of the overlap the other looks at too.
+    """
+    other = np.arange(_needed(n, least), n * 100 // least + 1)
+    overlap = -(-least * (n + other) // (100 + least))
+    own, theirs = (_looked_at(m, least) - (m - overlap) for m in (np.int64(n), other))
+    return max(1, int(np.minimum(own, theirs)[overlap <= np.minimum(n, other)].min()))
+
+
 def key_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -150,11 +161,14 @@ def _suspects(docs: DataFrame, classes: DataFrame, total: int, words: int, least
     ranged = docs.select(F.col("text").cast("string")).mapInArrow(rows, RANGED)
     shared = ranged.groupBy("part").applyInArrow(lean(partial(_shared_counts, buckets=ranges)), SHARED)
     shared = shared.groupBy("bucket").applyInArrow(lean(_summed), "set_key long, shared long")
-    n = F.col("n")
-    need = F.ceil(n * least / 100)
-    looked = F.least(n, F.greatest(n - need + 1, F.ceil(n * SHARE)))
-    # Of ``looked`` shingles at most n - need lie outside a linked set; each copy of the class has counted them once.
-    return classes.join(shared, "set_key").filter(F.col("shared") >= F.col("copies") * (looked - (n - need))).select("set_key", "n", "least_id", "text_key")
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_least_shared(n, least) for n in batch.column(0).to_pylist()], pa.int64())], ["n", "bound"])
+
+    bound = F.broadcast(classes.select("n").distinct().mapInArrow(bounds, "n long, bound long"))
+    # Each copy of the class has counted its shared shingles once.
+    return classes.join(shared, "set_key").join(bound, "n").filter(F.col("shared") >= F.col("copies") * F.col("bound")).select("set_key", "n", "least_id", "text_key")
 
 
 def _whole_sets(docs: DataFrame, suspects: DataFrame, words: int) -> DataFrame:

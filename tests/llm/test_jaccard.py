@@ -130,3 +130,24 @@ def test_odd_documents(odd, none):
     assert jaccard.joined(none).count() == 0 and jaccard.one_of_each(none).columns == none.columns
     kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(odd).collect()]
     assert sorted(map(repr, kept)) == sorted(map(repr, [rows[0], *rows[4:]]))
+
+
+@pytest.mark.parametrize("few, many", [(3, 4), (6, 8), (15, 20)])
+def test_extended_texts_link_at_the_limit(spark, few, many):
+    """Jaccard is 75 / 100 exactly; the larger set's own shingles may be its lowest."""
+    rows = []
+    for i in range(300):
+        words = [f"{i}x{k}" for k in range(many + 4)]
+        rows += [(2 * i, " ".join(words[: few + 4])), (2 * i + 1, " ".join(words))]
+    assert got(jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"))) == sorted(map(repr, brute(rows)))
+
+
+@pytest.mark.parametrize("least", [50, 75, 90])
+def test_least_shared_holds_for_all_partners(least):
+    for a in range(1, 90):
+        low = jaccard._least_shared(a, least)
+        for b in range(1, 2 * a + 1):
+            for both in range(1, min(a, b) + 1):
+                if 100 * both >= least * (a + b - both):
+                    looked = [int(jaccard._looked_at(np.int64(n), least)) - (n - both) for n in (a, b)]
+                    assert 1 <= low <= max(1, min(looked))
