@@ -339,7 +339,7 @@ def removed(docs: DataFrame, spans: bool = True) -> DataFrame:
     flags = rows.filter(F.octet_length("text") >= LENGTH).mapInArrow(_first_ranks(parts), PART).groupBy("part").applyInArrow(lean(partial(_ranked_pairs, buckets=parts)), FLAGS)
     flags = written(_by_text(flags, "flags"), "suffix-pairs")
     _forget(spark)
-    copies = rows.filter("doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    copies = rows.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.max(F.coalesce("doc_id", F.lit(LAST))).alias("last")).filter("least_id < last").drop("last")
     info = written(flags.join(copies, "text_key", "full"), "suffix-info")
     looks = info.filter("look").select("text_key", "flags", "least_id")
     # Only the earliest document of each text stands for it.

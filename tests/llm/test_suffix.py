@@ -79,3 +79,10 @@ def test_spans_cover_what_is_removed(spark):
 def test_odd_documents(odd, none):
     assert got(suffix.removed(odd)) == brute([(r.doc_id, r.text) for r in odd.collect()])
     assert suffix.removed(none).count() == 0
+
+
+def test_a_copy_without_id_is_later_than_its_original(spark):
+    alone, often, nowhere = ("".join(random.Random(k).choice("abcdefgh ij") for _ in range(120)) for k in range(3))
+    rows = [(1, alone), (None, alone), (2, often), (None, often), (None, often), (None, nowhere), (None, nowhere), (3, "short"), (None, "short")]
+    found = suffix.removed(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(r.n_removed for r in found.collect()) == 3 * 120 and got(found) == brute(rows)
