@@ -1,9 +1,8 @@
-"""Removal of long byte strings that an earlier document holds, by distributed prefix doubling over sampled positions.
+"""Removal of long byte strings that an earlier document holds, by hashes at winnowed anchors and of single windows.
 
-Positions are ranked by the string that starts there, and ranked anew by pairs of ranks that cover more bytes, until they are
-unique or cover ``LENGTH`` bytes. Sorting every position of a corpus is out of reach, so the first rank is taken at anchors only:
-of each window of LENGTH bytes, the position whose ``STEP``-byte string has the lowest hash. Equal windows have equal
-anchors, so nothing is lost:
+This stands in place of distributed prefix doubling: nothing is ranked anew at growing offsets, and positions aren't sorted by
+Spark. Ranks below are hashes. Of each window of LENGTH bytes, the anchor is the position whose ``STEP``-byte string has the
+lowest hash. Equal windows have equal anchors, so nothing is lost:
 
 1. Ranks of STEP bytes at anchors, sorted by hash range: anchors whose string is in one document only drop out.
 2. Ranks of pairs (string at the anchor, the whole stretch of windows that have this anchor): where an earlier document has
