@@ -13,6 +13,7 @@ and hidden elements never count; repeated rows get equal rows; an empty table gi
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from html import unescape
@@ -159,6 +160,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     """A row of numbers per element."""
     total = max(nodes[0].size, 1)
     above: list[tuple] = []
+    families: dict[int, tuple[Counter, int]] = {}  # of each parent: its elements' tags, and how many
     rows = []
     for node in nodes:
         group = GROUP.get(node.tag, 0)
@@ -170,10 +172,13 @@ def features(nodes: list[Node]) -> np.ndarray:
         flags = (int(group == 1), good, int(group in (6, 7, 8, 9)), int(group == 10), *bad)
         over = above[node.parent.index] if node.parent else (0,) * len(flags)
         above.append(tuple(map(max, flags, over)))
-        family = [c for c in node.parent.children if not isinstance(c, str)] if node.parent and len(node.parent.children) < 4000 else [node]
+        over_index = node.parent.index if node.parent else -1
+        if over_index not in families:
+            tags = Counter(c.tag for c in node.parent.children if not isinstance(c, str)) if node.parent else Counter([node.tag])
+            families[over_index] = tags, tags.total()
+        tags, family = families[over_index]
         size = max(node.size, 1)
-        alike = sum(c.tag == node.tag for c in family) if len(family) < 200 else len(family)
-        rows.append((group, node.depth, np.log1p(node.size), node.linked / size, node.marks / size * 100, node.commas / size * 100, node.own / size, node.paragraphs, size / (node.paragraphs + 1), len(node.children), len(family), alike / len(family), node.size / max(node.parent.size if node.parent else total, 1), node.size / total, node.at / total, *flags, *over))
+        rows.append((group, node.depth, np.log1p(node.size), node.linked / size, node.marks / size * 100, node.commas / size * 100, node.own / size, node.paragraphs, size / (node.paragraphs + 1), len(node.children), family, tags[node.tag] / family, node.size / max(node.parent.size if node.parent else total, 1), node.size / total, node.at / total, *flags, *over))
     return np.array(rows, np.float32)
 
 

@@ -75,3 +75,11 @@ def test_odd_pages(spark):
     got = {r.page_id: r for r in html.main_text(df).collect()}
     assert got[1].text == "" and got[None].n_chars == 0 and got[4].text == "just text" and got[5].n_chars == 3000 * 16 - 1 + 0
     assert html.main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("many", [50, 150, 3000])
+def test_siblings_are_counted_at_any_number(many):
+    nodes = html.ordered(html.parsed("<article>" + "<p>word word.</p><h2>word</h2> text " * many + "</article>"))
+    rows = html.features(nodes)
+    own = [i for i, n in enumerate(nodes) if n.parent and n.parent.tag == "article"]
+    assert len(own) == 2 * many and (rows[own, 10] == 2 * many).all() and (rows[own, 11] == 0.5).all()
