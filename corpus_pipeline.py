@@ -23,7 +23,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document that the mix takes twice is there twice."""
+    """A document that the mix takes twice is there twice; each shard is one partition, so one file, in the shard's order."""
     return mixing.mixed(docs, places=False)
 
 

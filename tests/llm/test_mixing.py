@@ -46,10 +46,80 @@ def test_targets_are_met(spark, folder):
 
 
 def test_reruns_agree(spark, small):
-    one, two = (sorted(map(tuple, queries.op8_mixing(spark, small).collect())) for _ in range(2))
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    one, two = (sorted(map(tuple, mixing.digest(d).collect())) for d in (docs, docs.repartition(5, "text")))
     assert one == two
 
 
+def shards_of(rows):
+    """(shard, place) of each draw."""
+    return [tuple(d.split(":")) for r in rows for d in r.draws.split(",") if d]
+
+
+@pytest.mark.parametrize("shards", [5])
+def test_each_shard_gets_its_quota_of_each_source(spark, shards):
+    """The blocks that a shard holds are those that the tree dealt it: whole blocks in permuted order, and as many as its quota."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = mixing.digest(docs, shards=shards).collect()
+    assert sum(len(r.draws.split(",")) if r.draws else 0 for r in rows) == sum(r.taken // r["size"] for r in rows if r["size"])
+    sizes = mixing.sized(docs, "mix").select("doc_id", "_source", "_hash", "_size").cache()
+    sources = mixing.opened(sizes, mixing.targets(sizes, 1.5, 2.0, mixing.WEIGHTS)).collect()
+    plan = {r._source: (r._passes, 1 << r._bits, r._first, r._bits) for r in sources}
+    quota = {s: p * blocks + (min(first + mixing.OPEN, blocks) if first is not None else 0) for s, (p, blocks, first, _) in plan.items()}
+    table = spark.createDataFrame(list(quota.items()), "_source string, _quota long")
+    ranges = {(r._source, r.shard): (r["first"], r["last"]) for r in mixing.split(table, shards, "mix").collect()}
+    assert {s for s, _ in ranges} == set(quota) and all(sum(b - a for (n, _), (a, b) in ranges.items() if n == s) == q for s, q in quota.items())
+    of = {r.doc_id: (r._source, r._hash) for r in sizes.collect()}
+    seen = Counter()
+    for r in rows:
+        source, h = of[r.doc_id]
+        passes, blocks, first, bits = plan[source]
+        for n, d in enumerate(x for x in r.draws.split(",") if x):
+            number = n * blocks + (h >> (mixing.BITS - bits))
+            low, high = ranges[source, int(d.split(":")[0])]
+            assert low <= number < high
+            seen[source, number] += 1
+    for s, q in quota.items():
+        assert all(n < q for t, n in seen if t == s)
+
+
+def test_shards_change_the_output_and_nothing_else_does(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    one, five, again = (mixing.digest(docs, shards=n).orderBy("doc_id").collect() for n in (1, 5, 5))
+    assert [r.taken for r in one] == [r.taken for r in five] and five == again
+    assert {s for s, _ in shards_of(one)} == {"0"} and {s for s, _ in shards_of(five)} == set("01234")
+    mix = mixing.mixed(docs, shards=5).withColumn("_at", F.spark_partition_id()).collect()
+    assert all(r._at == r._shard for r in mix)
+    for n in range(5):
+        order = [r._order for r in mix if r._shard == n]
+        assert order == sorted(order)
+    assert Counter(str(r._shard) + ":" + r._order[:12] for r in mix) == Counter(":".join(x) for x in shards_of(five))
+
+
+@pytest.mark.parametrize("block, level", [(1, 2), (8, 10)])
+def test_open_blocks_are_found_by_levels(spark, small, monkeypatch, block, level):
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    monkeypatch.setattr(mixing, "LEVEL", level)
+    monkeypatch.setattr(mixing, "OPEN", 2)
+    sizes = mixing.sized(spark.read.parquet(f"{small}/documents.parquet"), "mix").select("_source", "_hash", "_size").cache()
+    own = [tuple(r) for r in sizes.collect()]
+    for r in mixing.opened(sizes, mixing.targets(sizes, 1.5, 2.0, mixing.WEIGHTS)).collect():
+        left, at = round(r._target) - r._passes * r._ssize, 0
+        if left:
+            per = Counter()
+            for s, h, n in own:
+                if s == r._source:
+                    per[h >> (mixing.BITS - r._bits)] += n
+            while sum(per[b] for b in range(at + 1)) <= left:
+                at += 1
+            assert r._first == at and r._left == left - sum(per[b] for b in range(at))
+            taken = sum(n for s, h, n in own if s == r._source and (h >> (mixing.BITS - r._bits) < at or h in r._ones))
+            assert abs(taken - left) <= max(n for s, _, n in own if s == r._source)
+        else:
+            assert r._first is None and not r._ones
+
+
 def test_hypergeometric_by_its_distribution(spark):
     total, good, drawn = 12, 5, 6
     u = [(i + 0.5) / 2000 for i in range(2000)]
@@ -87,6 +157,8 @@ def test_odd_documents(spark, odd, none, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
     key = lambda t: sorted(map(repr, t))
     assert key(tuple(r) for r in rows) == key(con.sql(mixing.SQL).fetchall())
+    again = [r.draws for r in rows if r.doc_id == 1]
+    assert len(again) == 2 and again[0] == again[1]
     mix = mixing.mixed(odd, places=False)
     assert mix.columns == odd.columns and mix.count() > 0
     assert mixing.digest(none).count() == mixing.mixed(none).count() == 0
