@@ -1,7 +1,7 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes and hierarchical decoding.
 
-A forgiving parser builds the element tree. Each element gets features: its tag and attribute tokens and those above it, depth,
-link, punctuation and text density of its subtree, and its place and share among its siblings. Boosted trees, trained in numpy
+A forgiving parser builds the element tree, in time linear in the page. Each element gets features: its tag and attribute tokens and those above it (tokens
+count by log-odds of main text that are learned for hash buckets; there is no list of good or bad names), depth, link, punctuation and text density of its subtree, and its place and share among its siblings. Boosted trees, trained in numpy
 on seeded invented pages of many layouts, give each element log-odds of main text. Decoding walks the tree
 bottom up and takes, for every element, the best of keeping its whole subtree, dropping it, or deciding child by child at a
 price; so a kept element never lies in a dropped one.
@@ -12,12 +12,14 @@ and hidden elements never count; repeated rows get equal rows; an empty table gi
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from html import unescape
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,29 +28,23 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*\Z|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+NAME, GAP, ATTRIBUTE, EQUALS, BARE = map(re.compile, (r"[^\s/>]+", r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template xmp iframe svg".split())
 UNSEEN = frozenset("script style noscript template head title meta link iframe svg textarea select option button input".split())
 BLOCKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
-#: What an opening tag closes first, up to the elements that bound it.
+#: What an opening tag closes first, and the elements that bound the search for it.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-BOUNDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+BOUNDS = {("li",): ("ul", "ol", "menu"), ("dt", "dd"): ("dl",), ("tr", "td", "th"): ("table",), ("td", "th"): ("tr", "table"), ("option",): ("select",), ("p",): ("td", "th", "li", "div", "article", "section", "main", "table")}
+KINDS = list(BOUNDS)
+#: Of a tag: the kinds that it is itself one of (1) or that it bounds (-1).
+ROLES = {tag: [(k, 1 if tag in kind else -1) for k, kind in enumerate(KINDS) if tag in kind or tag in BOUNDS[kind]] for tag in {t for k, v in BOUNDS.items() for t in (*k, *v)}}
 
 GROUPS = {"article": "article main", "div": "div section body html", "p": "p", "head": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol li dl dt dd menu", "nav": "nav", "header": "header", "footer": "footer", "aside": "aside dialog", "form": "form fieldset label", "table": "table tbody tr td th thead tfoot", "quote": "blockquote pre figure figcaption code", "link": "a"}
 GROUP = {tag: i for i, tags in enumerate(GROUPS.values(), 1) for tag in tags.split()}
-GOOD = frozenset("article content post entry story body main text maincontent articlebody prose".split())
-BAD = {
-    "advert": "ad ads adv advert advertisement sponsor sponsored promo promotion banner adbox adslot",
-    "menu": "nav menu navbar navigation breadcrumb breadcrumbs topbar tabs toc pagination pager skip",
-    "frame": "header footer masthead foot copyright legal colophon site",
-    "side": "sidebar side aside related recommended widget trending popular rail more teaser",
-    "notice": "cookie cookies consent notice alert popup modal overlay gdpr privacy newsletter subscribe signup paywall",
-    "social": "share social sharing follow like login search form tags meta byline author",
-    "comments": "comment comments reply replies discussion disqus respond reader feedback",
-}
-BAD_OF = {word: i for i, words in enumerate(BAD.values()) for word in words.split()}
+TAGS_OF_MAIN, TAGS_AROUND, TAGS_OF_FORMS = (1,), (6, 7, 8, 9), (10,)
+#: Attribute tokens fall into so many buckets by hash.
+BUCKETS = 1024
 MARK = "\ue000"  # begins main text in invented pages
 
 
@@ -62,68 +58,159 @@ class Node:
         self.size = self.linked = self.marks = self.commas = self.paragraphs = self.own = self.main = self.at = self.index = 0
 
 
+class _Open:
+    """The elements that are open: a stack, how many of each tag, and for each kind of CLOSES the place of the nearest one that a new tag would close (-1: none)."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.tags, self.near = [root], Counter(), [(-1,) * len(KINDS)]
+
+    def push(self, node: Node) -> None:
+        near = self.near[-1]
+        if roles := ROLES.get(node.tag):
+            changed = list(near)
+            for k, role in roles:
+                changed[k] = len(self.stack) if role > 0 else -1
+            near = tuple(changed)
+        self.stack.append(node)
+        self.near.append(near)
+        self.tags[node.tag] += 1
+
+    def cut(self, size: int) -> None:
+        """Closes all but the first ``size`` elements."""
+        for node in self.stack[size:]:
+            self.tags[node.tag] -= 1
+        del self.stack[size:], self.near[size:]
+
+    def close(self, tag: str) -> bool:
+        """Closes up to the nearest element of a tag, if one is open."""
+        if not self.tags[tag]:
+            return False
+        at = len(self.stack) - 1
+        while self.stack[at].tag != tag:
+            at -= 1
+        self.cut(at)
+        return True
+
+    def before(self, tag: str) -> None:
+        """Closes what a new tag closes first: a paragraph, if it is a block, and its own kind."""
+        for kind in ((("p",) if tag in BLOCKS else ()), CLOSES.get(tag, ())):
+            if kind and (at := self.near[-1][KINDS.index(kind)]) > 0:
+                while kind != ("p",) and at > 1 and self.stack[at - 1].tag in kind:
+                    at -= 1
+                self.cut(at)
+
+
+def _tag_end(html: str, at: int, last: dict[str, int], attributes: list) -> int:
+    """Where a tag ends whose name ends at ``at`` (-1: nowhere); ``last``: of each quote, its last place, so that one without an end is a character like others."""
+    while True:
+        at = GAP.match(html, at).end()
+        if at >= len(html):
+            return -1
+        if html[at] == ">":
+            return at + 1
+        name = ATTRIBUTE.match(html, at)
+        at = name.end()
+        value = EQUALS.match(html, at)
+        if not value:
+            attributes.append((name.group(), ""))
+            continue
+        at = value.end()
+        quote = html[at : at + 1]
+        if quote and at < last.get(quote, -1):
+            close = html.index(quote, at + 1)
+            attributes.append((name.group(), html[at + 1 : close]))
+            at = close + 1
+        else:
+            value = BARE.match(html, at)
+            attributes.append((name.group(), value.group()))
+            at = value.end()
+
+
 def parsed(html: str) -> Node:
-    """The page's element tree; text is unescaped, never-shown elements are left out."""
-    root = here = Node("html", None)
-    raw, at, end = "", 0, len(html)
+    """The page's element tree; text is unescaped, never-shown elements are left out.
+
+    One pass whose time grows with the page's length, however its tags nest and its quotes and ends are missing: what a tag closes is looked up,
+    and where quotes leave a tag without an end, quotes are plain characters from there on.
+    """
+    root = Node("html", None)
+    open_, at, end = _Open(root), 0, len(html)
+    last, last_end = {q: html.rfind(q) for q in "\"'"}, html.rfind(">")
     while at < end:
-        if raw:
-            close = re.compile(rf"</{re.escape(raw)}[\s/>]", re.I).search(html, at)
-            at, raw = (close.start() if close else end), ""
+        here = open_.stack[-1]
+        less = html.find("<", at)
+        if less != at:
+            here.children.append(unescape(html[at : less if less >= 0 else end]))
+            at = less if less >= 0 else end
+            continue
+        if html.startswith("<!--", at):
+            close = html.find("-->", at + 4)
+            at = close + 3 if close >= 0 else end
+            continue
+        if html.startswith(("<!", "<?"), at):
+            close = html.find(">", at)
+            at = close + 1 if close >= 0 else end
             continue
-        m = TOKEN.match(html, at)
-        at, piece = m.end(), m.group()
-        if not m[2]:
-            if piece[0] != "<" or piece == "<":
-                here.children.append(unescape(piece))
+        closing = html.startswith("/", at + 1)
+        begin = at + 1 + closing
+        if not html[begin : begin + 1].isascii() or not html[begin : begin + 1].isalpha():
+            here.children.append("<")
+            at += 1
             continue
-        tag = m[2].lower()
-        if m[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            here = node.parent if node is not root else here
-            if tag == "p" and node is root:
+        if begin > last_end:  # the page's end cuts this tag, unless it is text
+            rest = html.find("<", begin)
+            if rest >= 0:
+                here.children.append(unescape(html[at:rest]))
+            at = rest if rest >= 0 else end
+            continue
+        name, attributes = NAME.match(html, begin), []
+        after = _tag_end(html, name.end(), last, attributes)
+        if after < 0:
+            last, attributes = {}, []
+            after = _tag_end(html, name.end(), last, attributes)
+        if after < 0:
+            here.children.append("<")
+            at += 1
+            continue
+        tag, shut, at = name.group().lower(), html[after - 2] == "/", after
+        if closing:
+            if not open_.close(tag) and tag == "p":
                 here.children.append("\n")
             continue
         if tag in ("html", "body"):
             continue
-        if tag in BLOCKS:
-            node = here
-            while node is not root and node.tag != "p" and node.tag not in ("td", "th", "li", "div", "article", "section", "main", "table"):
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
-        if tag in CLOSES:
-            node = here
-            while node is not root and node.tag not in CLOSES[tag] and node.tag not in BOUNDS[tag]:
-                node = node.parent
-            while node is not root and node.tag in CLOSES[tag]:
-                here = node = node.parent
+        open_.before(tag)
+        here = open_.stack[-1]
         if tag == "br" or tag == "hr":
             here.children.append("\n")
             continue
-        words, hidden = _attributes(m[3]) if m[3].strip(" /") else (frozenset(), False)
         if tag in VOID:
             continue
-        shut = m[3].endswith("/")
+        words, hidden = _attributes(attributes) if attributes else (frozenset(), False)
         node = Node(tag, here, words, hidden or tag in UNSEEN)
-        if not node.hidden or tag not in RAW:
+        if tag not in RAW:
             here.children.append(node)
-        if tag in RAW:
-            raw = "" if shut else tag
-        if not shut or tag not in ("svg", "iframe"):
-            here = node
+            open_.push(node)
+        elif not shut or tag not in ("svg", "iframe"):
+            close = _raw_end(tag).search(html, at)
+            if not node.hidden:
+                node.children.append(unescape(html[at : close.start() if close else end]))
+                here.children.append(node)
+            at = close.end() if close else end
     return root
 
 
-def _attributes(text: str) -> tuple[frozenset, bool]:
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?:[\s/][^>]*)?(?:>|\Z)", re.I)
+
+
+def _attributes(pairs: list) -> tuple[frozenset, bool]:
     words, hidden = set(), False
-    for name, value in ATTRIBUTE.findall(text):
-        name, value = name.lower(), value.strip("\"'").lower()
+    for name, value in pairs:
+        name = name.lower()
         if name in ("class", "id", "role", "itemprop", "aria-label"):
-            words.update(re.findall(r"[a-z]+", value))
-        hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
+            words.update(re.findall(r"[a-z]+", value.lower()))
+        hidden |= name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.lower().replace(" ", "")
     return frozenset(words), hidden
 
 
@@ -156,20 +243,36 @@ def ordered(root: Node) -> list[Node]:
     return nodes
 
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """A row of numbers per element."""
+@lru_cache(1 << 16)
+def bucket(word: str) -> int:
+    return crc32(word.encode()) % BUCKETS
+
+
+def token_odds(pages: list[list[Node]], usual: float = 8.0) -> np.ndarray:
+    """Of each bucket of attribute tokens: log-odds of main text in elements that have one, drawn towards those of all elements by ``usual`` elements."""
+    counts = np.zeros((2, BUCKETS))
+    whole = np.zeros(2)
+    for nodes in pages:
+        for node in nodes:
+            if node.size:
+                kind = int(node.main > 0.5 * node.size)
+                whole[kind] += 1
+                counts[kind, [bucket(w) for w in node.words]] += 1
+    share = whole / max(whole.sum(), 1)
+    bad, good = counts + usual * share[:, None] + 1e-6
+    return np.where(counts.sum(0) > 0, np.log(good / bad) - np.log((share[1] + 1e-6) / (share[0] + 1e-6)), 0.0)
+
+
+def features(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
+    """A row of numbers per element; odds: what token_odds() learned."""
     total = max(nodes[0].size, 1)
     above: list[tuple] = []
     families: dict[int, tuple[Counter, int]] = {}  # of each parent: its elements' tags, and how many
     rows = []
     for node in nodes:
         group = GROUP.get(node.tag, 0)
-        bad = [0] * len(BAD)
-        for w in node.words:
-            if w in BAD_OF:
-                bad[BAD_OF[w]] = 1
-        good = int(not GOOD.isdisjoint(node.words))
-        flags = (int(group == 1), good, int(group in (6, 7, 8, 9)), int(group == 10), *bad)
+        said = [odds[bucket(w)] for w in node.words]
+        flags = (int(group in TAGS_OF_MAIN), int(group in TAGS_AROUND), int(group in TAGS_OF_FORMS), max(said, default=0.0), -min(said, default=0.0))
         over = above[node.parent.index] if node.parent else (0,) * len(flags)
         above.append(tuple(map(max, flags, over)))
         over_index = node.parent.index if node.parent else -1
@@ -178,56 +281,53 @@ def features(nodes: list[Node]) -> np.ndarray:
             families[over_index] = tags, tags.total()
         tags, family = families[over_index]
         size = max(node.size, 1)
-        rows.append((group, node.depth, np.log1p(node.size), node.linked / size, node.marks / size * 100, node.commas / size * 100, node.own / size, node.paragraphs, size / (node.paragraphs + 1), len(node.children), family, tags[node.tag] / family, node.size / max(node.parent.size if node.parent else total, 1), node.size / total, node.at / total, *flags, *over))
+        rows.append((group, node.depth, math.log1p(node.size), node.linked / size, node.marks / size * 100, node.commas / size * 100, node.own / size, node.paragraphs, size / (node.paragraphs + 1), len(node.children), family, tags[node.tag] / family, node.size / max(node.parent.size if node.parent else total, 1), node.size / total, node.at / total, *flags, *over))
     return np.array(rows, np.float32)
 
 
 class Trees(NamedTuple):
-    """Boosted trees of one depth, as complete binary trees in arrays; base: log-odds without them."""
+    """Boosted trees of one depth, as complete binary trees in arrays; base: log-odds without them; tokens: log-odds of attribute tokens."""
 
     feature: np.ndarray
     cut: np.ndarray
     value: np.ndarray
     base: float
+    tokens: np.ndarray
 
 
-def boosted(rows: np.ndarray, truth: np.ndarray, weight: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 24, least: float = 1.0) -> Trees:
-    """Logistic gradient boosting on binned features, with Newton leaf values."""
-    cuts = [np.unique(np.quantile(rows[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(rows.shape[1])]
-    binned = np.stack([np.searchsorted(c, rows[:, f], "left") for f, c in enumerate(cuts)], 1)
+def boosted(rows: np.ndarray, truth: np.ndarray, weight: np.ndarray, tokens: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 24, least: float = 1.0) -> Trees:
+    """Logistic gradient boosting on binned features, with Newton leaf values; one histogram over all features and nodes of a level."""
+    n, many = rows.shape
+    cuts = [np.unique(np.quantile(rows[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(many)]
+    there = np.array([[i < len(c) for i in range(bins)] for c in cuts])
+    place = np.array([[c[i] if i < len(c) else np.inf for i in range(bins)] for c in cuts], np.float32)
+    binned = np.stack([np.searchsorted(c, rows[:, f], "left") for f, c in enumerate(cuts)], 1) + np.arange(many) * bins
     share = float(np.clip((weight * truth).sum() / weight.sum(), 1e-3, 1 - 1e-3))
     base = float(np.log(share / (1 - share)))
-    score = np.full(len(rows), base)
-    inner, leaves = 2**depth - 1, 2**depth
+    score = np.full(n, base)
+    inner, leaves, every = 2**depth - 1, 2**depth, np.arange(n)
     feature, cut, value = np.zeros((rounds, inner), np.int64), np.full((rounds, inner), np.inf, np.float32), np.zeros((rounds, leaves), np.float32)
     for r in range(rounds):
         p = 1 / (1 + np.exp(-score))
         slope, bend = weight * (truth - p), weight * p * (1 - p)
-        at = np.zeros(len(rows), np.int64)
-        for node in range(inner):
-            own = np.flatnonzero(at == node)
-            best = (1e-6, 0, np.inf, 0)
-            if len(own):
-                g, h = slope[own], bend[own]
-                whole = g.sum() ** 2 / (h.sum() + least)
-                for f in range(rows.shape[1]):
-                    k = len(cuts[f])
-                    if k:
-                        b = binned[own, f]
-                        gl, hl = np.cumsum(np.bincount(b, g, k + 1))[:-1], np.cumsum(np.bincount(b, h, k + 1))[:-1]
-                        gain = gl**2 / (hl + least) + (g.sum() - gl) ** 2 / (h.sum() - hl + least) - whole
-                        i = int(np.argmax(gain))
-                        if gain[i] > best[0]:
-                            best = (gain[i], f, cuts[f][i], i)
-            feature[r, node], cut[r, node] = best[1], best[2]
-            if len(own):
-                right = rows[own, best[1]] > best[2]
-                at[own] = 2 * node + 1 + right
-        for leaf in range(leaves):
-            own = at == inner + leaf
-            value[r, leaf] = rate * slope[own].sum() / (bend[own].sum() + least)
-        score += value[r, at - inner]
-    return Trees(feature, cut, value, base)
+        at = np.zeros(n, np.int64)
+        for level in range(depth):
+            nodes = 2**level
+            code = (binned + (at * many * bins)[:, None]).ravel()
+            g, h = (np.bincount(code, np.repeat(x, many), nodes * many * bins).reshape(nodes, many, bins).cumsum(2) for x in (slope, bend))
+            g_all, h_all = g[..., -1:], h[..., -1:]
+            gain = g**2 / (h + least) + (g_all - g) ** 2 / (h_all - h + least) - g_all**2 / (h_all + least)
+            gain = np.where(there[None], gain, -1.0).reshape(nodes, -1)
+            best = gain.argmax(1)
+            good = gain[np.arange(nodes), best] > 1e-6
+            f = np.where(good, best // bins, 0)
+            c = np.where(good, place.ravel()[best], np.inf).astype(np.float32)
+            first = nodes - 1
+            feature[r, first : first + nodes], cut[r, first : first + nodes] = f, c
+            at = 2 * at + (rows[every, f[at]] > c[at])
+        value[r] = rate * np.bincount(at, slope, leaves) / (np.bincount(at, bend, leaves) + least)
+        score += value[r, at]
+    return Trees(feature, cut, value, base, tokens)
 
 
 def log_odds(trees: Trees, rows: np.ndarray) -> np.ndarray:
@@ -281,7 +381,7 @@ def text_of_kept(nodes: list[Node], kept: np.ndarray) -> str:
 
 def extracted(pages: list[str], trees: Trees) -> list[str]:
     trees_of = [ordered(parsed(p)) for p in pages]
-    rows = [features(nodes) for nodes in trees_of]
+    rows = [features(nodes, trees.tokens) for nodes in trees_of]
     odds = log_odds(trees, np.concatenate(rows)) if rows else np.zeros(0)
     out, at = [], 0
     for nodes in trees_of:
@@ -291,9 +391,16 @@ def extracted(pages: list[str], trees: Trees) -> list[str]:
     return out
 
 
+@cache
+def _words(many: int = 4000, seed: int = 5) -> list[str]:
+    """Invented words."""
+    rng, letters = np.random.default_rng(seed), list("aeiounrstlmdhé")
+    return ["".join(rng.choice(letters, n)) for n in rng.integers(1, 10, many)]
+
+
 def invented(rng: np.random.Generator) -> str:
     """A page of an invented layout, main text marked."""
-    word = lambda: "".join(rng.choice(list("aeiounrstlmdhé"), rng.integers(1, 10)))
+    word = lambda: _words()[rng.integers(len(_words()))]
     sentence = lambda a=3, b=16: " ".join(word() for _ in range(rng.integers(a, b))).capitalize() + "."
     pick = lambda *x: x[rng.integers(len(x))]
     heading = lambda: sentence(2, 18)[: rng.integers(12, 90)].rstrip(pick(".", " "))
@@ -338,14 +445,15 @@ def invented(rng: np.random.Generator) -> str:
 def trained(pages: int = 700, seed: int = 17) -> Trees:
     """Trees for elements of invented pages; an element is main text if most of its text is."""
     rng = np.random.default_rng(seed)
+    made = [ordered(parsed(invented(rng))) for _ in range(pages)]
+    tokens = token_odds(made[: pages // 2])  # the trees see these odds on pages that they weren't learned from, too
     rows, truth, weight = [], [], []
-    for _ in range(pages):
-        nodes = ordered(parsed(invented(rng)))
+    for nodes in made:
         full = [i for i, n in enumerate(nodes) if n.size]
-        rows.append(features(nodes)[full])
+        rows.append(features(nodes, tokens)[full])
         truth += [nodes[i].main > 0.5 * nodes[i].size for i in full]
         weight += [1.0 if nodes[i].own else 0.3 for i in full]
-    return boosted(np.concatenate(rows), np.array(truth, float), np.array(weight))
+    return boosted(np.concatenate(rows), np.array(truth, float), np.array(weight), tokens)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
