@@ -1,8 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The driver trains on a bounded sample: windows of bytes, gradients by backpropagation through time, Adam, all in numpy.
-Executors run the network over every byte of every text, in windows of WINDOW bytes that start anew (so a very long text costs
-no more memory than a short one), label each position, and pool a document's position probabilities by their mean.
+The driver trains on a bounded sample: windows of bytes, gradients by backpropagation through time, Adam, all in numpy; executors
+cut the windows, so only they reach the driver. Executors run the network over every byte of every text, WINDOW bytes at a time with
+MARGIN further bytes on both sides (so a very long text costs no more memory than a short one, and every byte has its context), label each
+position, and pool a document's position probabilities by their mean. Places before and after a text leave both directions' states as they are,
+in training as in prediction.
 
 Defined results: null text, empty text and text without a letter are ``und`` with score 0; without training rows everything is
 ``und`` with score 0; repeated rows get equal rows; an empty table gives an empty result.
@@ -13,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import carried, restored, slices, written
 
-#: Units a direction, bytes a window, windows a step of the network on executors.
-UNITS, WINDOW, TOGETHER = 8, 64, 1024
-#: Training: documents at most, windows a document, windows a batch, steps, learning rate.
-SAMPLE, WINDOWS, BATCH, STEPS, RATE = 1600, 24, 256, 260, 0.02
+#: Units a direction, bytes a window, bytes of context on each side, windows a step of the network on executors.
+UNITS, WINDOW, MARGIN, TOGETHER = 8, 64, 8, 1024
+CELLS = WINDOW + 2 * MARGIN
+#: The number of a place without a byte, and what it adds to the update gate: the gate is 1, so the state stays.
+PAD, SHUT = 256, np.float32(40)
+#: Training: documents at most, windows a document, windows a batch, steps, learning rate, share of windows cut short.
+SAMPLE, WINDOWS, BATCH, STEPS, RATE, SHORT = 1600, 24, 256, 260, 0.02, 0.4
 FOLDS, HELD_OUT, UNKNOWN = 4, 2, "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -32,7 +38,7 @@ LETTER = re.compile(r"[^\W\d_]")
 class Network(NamedTuple):
     """table: what a byte adds to update, reset and candidate gates, by direction; turn: the same for the state; shift: the candidate's bias; out, bias: to labels."""
 
-    table: np.ndarray  # [2 * 256, 3 * units]
+    table: np.ndarray  # [2 * 257, 3 * units], of each direction the bytes and PAD
     turn: np.ndarray  # [2, units, 3 * units]
     shift: np.ndarray  # [2, 1, units]
     out: np.ndarray  # [2, units, labels]
@@ -42,12 +48,15 @@ class Network(NamedTuple):
 def fresh(labels: int, units: int = UNITS, seed: int = 3) -> Network:
     rng = np.random.default_rng(seed)
     draw = lambda *shape, s: (rng.standard_normal(shape) * s).astype(np.float32)
-    return Network(draw(512, 3 * units, s=0.3), draw(2, units, 3 * units, s=units**-0.5), np.zeros((2, 1, units), np.float32), draw(2, units, labels, s=units**-0.5), np.zeros(labels, np.float32))
+    table = draw(2, PAD + 1, 3 * units, s=0.3)
+    table[:, PAD] = 0
+    table[:, PAD, :units] = SHUT
+    return Network(table.reshape(-1, 3 * units), draw(2, units, 3 * units, s=units**-0.5), np.zeros((2, 1, units), np.float32), draw(2, units, labels, s=units**-0.5), np.zeros(labels, np.float32))
 
 
 def _places(windows: np.ndarray) -> np.ndarray:
     """Rows of the table by step, direction and window: the second direction reads from the end."""
-    both = np.stack([windows.T, windows.T[::-1] + np.int64(256)], 1)
+    both = np.stack([windows.T, windows.T[::-1] + np.int64(PAD + 1)], 1)
     return both.astype(np.int64)
 
 
@@ -112,7 +121,7 @@ def backward(net: Network, places: np.ndarray, kept: list, states: np.ndarray, e
 
 
 def trained(windows: np.ndarray, labels: np.ndarray, kinds: int, steps: int = STEPS, seed: int = 5) -> Network:
-    """A network for byte windows [n, length] with a label each; every label gets the same weight in a batch, on average."""
+    """A network for windows [n, length] of bytes and PAD with a label each; every label gets the same weight in a batch, on average."""
     rng, net = np.random.default_rng(seed), fresh(kinds)
     share = 1.0 / np.maximum(np.bincount(labels, minlength=kinds), 1)[labels]
     share /= share.sum()
@@ -123,7 +132,7 @@ def trained(windows: np.ndarray, labels: np.ndarray, kinds: int, steps: int = ST
         states = forward(net, places, kept)
         error = softmax(position_scores(net, states))
         error[:, np.arange(BATCH), labels[pick]] -= 1
-        error /= np.float32(error.shape[0] * BATCH)
+        error *= (windows[pick].T < PAD)[..., None] / np.float32(error.shape[0] * BATCH)
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
         moved = []
         for p, g, a, b in zip(net, backward(net, places, kept, states, error), first, second, strict=True):
@@ -138,16 +147,21 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     """Mean label probabilities of each text's positions; an empty text gets zeros."""
     sizes = np.array([len(t) for t in texts], np.int64)
     many = -(-sizes // WINDOW)
-    total = np.zeros((int(many.sum()), net.bias.shape[0]))
-    raw = np.frombuffer(b"".join(t.ljust(int(m) * WINDOW, b"\0") for t, m in zip(texts, many, strict=True)), np.uint8).reshape(-1, WINDOW)
-    filled = np.full(len(raw), WINDOW)
-    filled[np.cumsum(many)[many > 0] - 1] = (sizes - (many - 1) * WINDOW)[many > 0]
-    for at in range(0, len(raw), TOGETHER):
-        probable = softmax(position_scores(net, forward(net, _places(raw[at : at + TOGETHER]))))
-        probable *= (np.arange(WINDOW)[:, None] < filled[at : at + TOGETHER])[..., None]
-        total[at : at + TOGETHER] = probable.sum(0)
+    # Each text has whole windows and a margin before and after; what no byte fills is PAD.
+    room = many * WINDOW + 2 * MARGIN
+    first = np.cumsum(room) - room
+    cells = np.full(int(room.sum()), PAD, np.uint16)
+    for t, at in zip(texts, first.tolist(), strict=True):
+        cells[at + MARGIN : at + MARGIN + len(t)] = np.frombuffer(t, np.uint8)
+    owner = np.repeat(np.arange(len(texts)), many)
+    start = first[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * WINDOW
+    total = np.zeros((len(owner), net.bias.shape[0]))
+    for at in range(0, len(owner), TOGETHER):
+        windows = cells[start[at : at + TOGETHER, None] + np.arange(CELLS)]
+        scores = position_scores(net, forward(net, _places(windows)))[MARGIN : MARGIN + WINDOW]
+        total[at : at + TOGETHER] = (softmax(scores) * (windows[:, MARGIN : MARGIN + WINDOW].T < PAD)[..., None]).sum(0)
     out = np.zeros((len(texts), net.bias.shape[0]))
-    np.add.at(out, np.repeat(np.arange(len(texts)), many), total)
+    np.add.at(out, owner, total)
     return out / np.maximum(sizes, 1)[:, None]
 
 
@@ -155,25 +169,41 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
+def windows_of(text: str, most: int = WINDOWS) -> np.ndarray:
+    """Windows [n, CELLS] for training from anywhere in a text, some cut short; drawn by the text's own seed. None from a text without a letter."""
+    raw = text.encode()
+    if not LETTER.search(text):
+        return np.zeros((0, CELLS), np.uint16)
+    rng, n = np.random.default_rng(crc32(raw)), min(most, 1 + len(raw) // WINDOW)
+    out = np.full((n, CELLS), PAD, np.uint16)
+    for row, at in zip(out, rng.integers(0, max(1, len(raw) - CELLS + 1), n), strict=True):
+        part = np.frombuffer(raw[at : at + (rng.integers(8, CELLS) if rng.random() < SHORT else CELLS)], np.uint8)
+        before = rng.integers(0, CELLS - len(part) + 1)
+        row[before : before + len(part)] = part
+    return out
+
+
 def sample(docs: DataFrame, most: int = SAMPLE) -> list:
-    """Text and lang of at most ``most`` labelled documents that aren't held out, those of the lowest id hashes."""
+    """Lang and windows of at most ``most`` labelled documents that aren't held out, those of the lowest id hashes; of rows with one id the first by lang and windows."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     lowest = known.select(F.col("doc_id").cast("long").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(most)
     rows = known.join(F.broadcast(lowest), known["doc_id"].cast("long") == F.col("_id"), "left_semi")  # at most ``most`` numbers
-    return rows.filter(F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang")).orderBy("doc_id", "text").limit(2 * most).collect()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [windows_of(t).tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary())], ["id", "lang", "windows"])
+
+    cuts = rows.filter(F.col("text").isNotNull()).select(F.col("text").cast("string"), F.col("doc_id").cast("long"), F.col("lang").cast("string")).mapInArrow(cut, "id long, lang string, windows binary")
+    return sorted(cuts.groupBy("id").agg(F.min(F.struct("lang", "windows")).alias("one")).select("id", "one.lang", "one.windows").collect())
 
 
 def learned(rows: list) -> tuple[Network | None, list[str]]:
-    """The network and its labels, from sampled rows; windows are drawn from anywhere in a text."""
+    """The network and its labels, from sample()'s rows."""
     kinds = sorted({r.lang for r in rows})
-    rng, windows, labels = np.random.default_rng(11), [], []
-    for r in rows:
-        raw = r.text.encode()
-        if LETTER.search(r.text):
-            for at in rng.integers(0, max(1, len(raw) - WINDOW + 1), min(WINDOWS, 1 + len(raw) // WINDOW)):
-                windows.append(np.frombuffer(raw[at : at + WINDOW].ljust(WINDOW, b" "), np.uint8))
-                labels.append(kinds.index(r.lang))
-    return (trained(np.stack(windows), np.array(labels), len(kinds)), kinds) if windows else (None, kinds)
+    windows = [np.frombuffer(r.windows, np.uint16).reshape(-1, CELLS) for r in rows]
+    labels = np.repeat([kinds.index(r.lang) for r in rows], [len(w) for w in windows]) if rows else np.zeros(0, np.int64)
+    return (trained(np.concatenate(windows), labels, len(kinds)), kinds) if len(labels) else (None, kinds)
 
 
 def predicted(docs: DataFrame, net: Network | None, kinds: list[str], *keep: str) -> DataFrame:
