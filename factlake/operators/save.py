@@ -7,16 +7,16 @@ that one key with a third of all requests doesn't run in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..functions.canonical import sha256_hex
+from ..functions.canonical import json_string, lower_escapes, sha256_hex
 from ..functions.registry import SAVERS, Saver
 from . import score, validate
 
 STRETCH = 1_000_000
-KEY_QUESTION = "Which key does this object belong to?"
+KEY_DESCRIPTION = "The key of an object names its scope (an application, or Shared) and what it is."
 
 
 def versioned(valid: DataFrame, snapshot: DataFrame | None = None, stretch: int = STRETCH) -> DataFrame:
@@ -49,32 +49,56 @@ def latest(rows: DataFrame, key: str = "key") -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*others), "seq").alias("r")).select(key, "r.*")
 
 
-def checked(requests: DataFrame, saver: Saver) -> DataFrame:
-    """requests(seq, key, payload, app_id) with errors and, if there are none, value, hashcode, app and completeness."""
-    v = F.coalesce(F.try_parse_json("payload"), F.parse_json(F.lit("null")))
-    bad_key = validate._error(F.lit("key"), F.lit("The key fits none of the saver's patterns"), "key_pattern", F.to_json(F.struct(F.col("key").alias("k"))).substr(F.lit(6), F.char_length(F.to_json(F.struct(F.col("key").alias("k")))) - 6), " or ".join(saver.patterns), None, "The key names the object's scope and kind.", KEY_QUESTION)
-    bad_app = validate._error(F.lit("app_id"), F.lit("The application differs from the key's"), "app_id_mismatch", F.col("app_id"), keys.app_id(F.col("key")), None, "The key names the object's scope and kind.", "Which application does this key belong to?")
-    fits = keys.matches_any(saver.patterns, F.col("key"))
-    found = F.when(~fits, F.array(bad_key)).when(~keys.app_agrees(F.col("key"), F.col("app_id")), F.array(bad_app)).otherwise(validate.errors(saver.model, v))
-    rows = requests.withColumn("_v", v).withColumn("errors", found)
+def _key_errors(saver: Saver, name: str) -> tuple[Column, Column]:
+    """Of a key that fits no pattern, and of an application that isn't the key's: the error."""
+    patterns = ", ".join(saver.patterns)
+    shown = json_string(F.col("key"))
+    own = json_string(keys.app_id(F.col("key")))
+    bad_key = validate._error(F.lit("key"), F.concat(F.lit("Key "), shown, F.lit(f" fits no key pattern of {name}")), "key_pattern_mismatch", shown, f"one of: {patterns}", None, KEY_DESCRIPTION, f"Under which key does this {saver.model.name} belong? One of: {patterns}")
+    bad_app = validate._error(F.lit("app_id"), F.concat(F.lit("Application "), json_string(F.col("app_id")), F.lit(" isn't that of key "), shown, F.lit(", which is "), own), "app_id_mismatch", json_string(F.col("app_id")), own, None, KEY_DESCRIPTION, "Which application does this key belong to?")
+    return bad_key, bad_app
+
+
+def checked(requests: DataFrame, savers: dict[str, Saver] | None = None) -> DataFrame:
+    """requests(seq, saver, key, payload, app_id) with errors, table and, if there are no errors, value, hashcode, app and completeness.
+
+    One pass over the requests; each is checked by its own saver. A null or unknown saver is an error of the request.
+    """
+    savers = SAVERS if savers is None else savers
+    none = F.array().cast(f"array<{validate.ERROR}>")
+    names = ", ".join(savers)
+    unknown = F.array(validate._error(F.lit("saver"), F.lit("No saver of this name"), "unknown_saver", json_string(F.col("saver")), f"one of: {names}", None, "The saver tells an object's kind.", "Of which kind is this object?"))
+
+    def by_saver(of, otherwise: Column) -> Column:
+        for name, saver in savers.items():
+            otherwise = F.when(F.col("saver") == name, of(name, saver)).otherwise(otherwise)
+        return otherwise
+
+    def found(name: str, saver: Saver) -> Column:
+        bad_key, bad_app = _key_errors(saver, name)
+        return F.when(~keys.matches_any(saver.patterns, F.col("key")), F.array(bad_key)).when(~keys.app_agrees(F.col("key"), F.col("app_id")), F.array(bad_app)).otherwise(validate.errors(saver.model, F.col("_v")))
+
+    rows = requests.withColumn("_v", F.coalesce(F.try_parse_json("payload"), F.parse_json(F.lit("null"))))
+    rows = rows.withColumn("errors", by_saver(found, unknown)).withColumn("errors", F.coalesce("errors", none))
     good = F.size("errors") == 0
-    rows = rows.withColumn("_normal", F.when(good, validate.normal(saver.model, F.col("_v"))))
-    rows = rows.withColumn("value", F.to_json("_normal")).withColumn("hashcode", sha256_hex(F.col("value")))
-    scored = F.when(good, score.completeness(saver.model, validate.typed(saver.model, F.col("_normal"))))
-    return rows.withColumn("completeness", scored).withColumn("app", keys.app_id(F.col("key"))).drop("_v", "_normal", "payload")
+    rows = rows.withColumn("_normal", F.when(good, by_saver(lambda _, s: validate.normal(s.model, F.col("_v")), F.lit(None).cast("variant"))))
+    rows = rows.withColumn("value", lower_escapes(F.to_json("_normal"))).withColumn("hashcode", sha256_hex(F.col("value")))
+    scored = by_saver(lambda _, s: score.completeness(s.model, validate.typed(s.model, F.col("_normal"))), F.lit(None).cast("double"))
+    kept = rows.withColumns({"completeness": F.when(good, scored), "app": keys.app_id(F.col("key")), "table": by_saver(lambda _, s: F.lit(s.table), F.lit(None).cast("string"))})
+    return kept.select("seq", "key", "app_id", "errors", "value", "hashcode", "completeness", "app", "table")
 
 
 def save_batch(requests: DataFrame, snapshot: DataFrame | None = None, savers: dict[str, Saver] | None = None, stretch: int = STRETCH) -> tuple[DataFrame, DataFrame]:
     """(results, new snapshot) of requests(seq, saver, key, payload, app_id); seq orders them and is unique.
 
     results: seq, ok, key, action, version, hashcode, completeness, errors, one per request. snapshot: key, value, hashcode,
-    app_id, completeness, version, table.
+    app_id, completeness, version, table. A null or empty key, payload or saver is a rejected request; no requests give no results.
     """
-    savers = SAVERS if savers is None else savers
-    done = None
-    for name, saver in savers.items():
-        part = checked(requests.filter(F.col("saver") == name).drop("saver"), saver).withColumn("table", F.lit(saver.table))
-        done = part if done is None else done.unionByName(part)
+    return committed(checked(requests, savers), snapshot, stretch)
+
+
+def committed(done: DataFrame, snapshot: DataFrame | None = None, stretch: int = STRETCH) -> tuple[DataFrame, DataFrame]:
+    """What save_batch() gives, from checked() requests; a caller that wants both results can write those once."""
     valid = done.filter(F.size("errors") == 0).drop("errors", "app_id")
     kept = versioned(valid, snapshot, stretch)
     if snapshot is not None:  # an unchanged object keeps its stored score

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.canonical import shown
 from ..functions.registry import MODELS, NA, Field, Model, type_of
 
 VARIANTS = "array<variant>"
@@ -80,6 +81,8 @@ def typed(model: Model, v: Column) -> Column:
             inner = F.when(is_object(own), typed(MODELS[f.item], own))
         elif f.kind == "texts":
             inner = F.transform(list_in(own), text_in)
+        elif f.kind in SCALARS:
+            inner = F.try_variant_get(own, "$", type_of(f).simpleString())
         else:
             inner = text_in(own)
         if f.na:
@@ -112,15 +115,24 @@ def _only(test: Column, error: Column) -> Column:
 
 def _text_errors(f: Field, v: Column, path: Column) -> Column:
     wrong = ~is_text(v)
-    found = _only(wrong, _error(path, "Input should be a valid string", "string_type", F.to_json(v), None, f))
+    found = _only(wrong, _error(path, "Input should be a valid string", "string_type", shown(v), None, f))
     if f.least:
         short = f"String should have at least {f.least} character" + "s" * (f.least > 1)
-        found = F.concat(found, _only(~wrong & (F.char_length(text_in(v)) < f.least), _error(path, short, "string_too_short", F.to_json(v), None, f)))
+        found = F.concat(found, _only(~wrong & (F.char_length(text_in(v)) < f.least), _error(path, short, "string_too_short", shown(v), None, f)))
     return found
 
 
+#: Of a scalar kind other than text: VARIANT's kinds that it takes, what it should be, and the error.
+SCALARS = {"integer": ("BIGINT", "a valid integer", "int_type"), "number": ("BIGINT|DOUBLE|FLOAT|DECIMAL.*", "a valid number", "float_type"), "flag": ("BOOLEAN", "a valid boolean", "bool_type")}
+
+
+def _scalar_errors(f: Field, v: Column, path: Column) -> Column:
+    takes, wanted, kind = SCALARS[f.kind]
+    return _only(~F.coalesce(_kind(v).rlike(f"^(?:{takes})$"), F.lit(False)), _error(path, SHOULD_BE + wanted, kind, shown(v), wanted, f))
+
+
 def _list_errors(f: Field, v: Column, path: Column) -> Column:
-    found = _only(~is_list(v), _error(path, "Input should be a valid list", "list_type", F.to_json(v), None, f))
+    found = _only(~is_list(v), _error(path, "Input should be a valid list", "list_type", shown(v), None, f))
     each = (lambda x, i: _text_errors(_plain(f), x, _dotted(path, i.cast("string")))) if f.kind == "texts" else (lambda x, i: errors(MODELS[f.item], x, _dotted(path, i.cast("string")), f))
     return F.concat(found, F.flatten(F.transform(list_in(v), each)))
 
@@ -134,11 +146,11 @@ def _value_errors(f: Field, v: Column, path: Column) -> Column:
     if f.kind == "enum":
         names = [f"'{a}'" for a in f.allowed]
         wanted = names[0] if len(names) == 1 else f"{', '.join(names[:-1])} or {names[-1]}"
-        found = _only(~(is_text(v) & F.coalesce(text_in(v).isin(*f.allowed), F.lit(False))), _error(path, SHOULD_BE + wanted, "enum", F.to_json(v), wanted, f))
+        found = _only(~(is_text(v) & F.coalesce(text_in(v).isin(*f.allowed), F.lit(False))), _error(path, SHOULD_BE + wanted, "enum", shown(v), wanted, f))
     elif f.kind == "item":
         found = errors(MODELS[f.item], v, path, f)
     else:
-        own = _list_errors if f.kind in ("texts", "items") else _text_errors
+        own = _list_errors if f.kind in ("texts", "items") else _scalar_errors if f.kind in SCALARS else _text_errors
         if f.na:
             # Both members of the union complain, each under its own tag, if neither takes the value.
             first = own(f, v, _dotted(path, "list[str]" if f.kind == "texts" else "str"))
@@ -153,7 +165,7 @@ def errors(model: Model, v: Column, path: Column | None = None, owner: Field | N
     """All violations of an object, as an array of error structs."""
     at = F.lit("payload") if path is None else path
     what = f"Input should be a valid dictionary or instance of {model.name}"
-    found = [_only(~is_object(v), _error(at, what, "model_type", F.to_json(v), None, owner, f"An object of kind {model.name}.", f"Which fields does the {model.name} have?"))]
+    found = [_only(~is_object(v), _error(at, what, "model_type", shown(v), None, owner, f"An object of kind {model.name}.", f"Which fields does the {model.name} have?"))]
     inner = []
     for f in model.fields:
         own, here = part(v, f.name), _dotted(path, f.name)
@@ -162,7 +174,7 @@ def errors(model: Model, v: Column, path: Column | None = None, owner: Field | N
     names = ", ".join(f.name for f in model.fields)
     extra = F.array_except(F.map_keys(v.cast("map<string,variant>")), F.array(*[F.lit(f.name) for f in model.fields]))
     question = lambda k: F.concat(F.lit("'"), k, F.lit(f"' is no field of {model.name}. To which of its fields ({names}) does it belong?"))
-    inner.append(F.transform(extra, lambda k: _error(_dotted(path, k), "Extra inputs are not permitted", "extra_forbidden", F.to_json(F.element_at(v.cast("map<string,variant>"), k)), "no such field; remove it", None, f"An object of kind {model.name}.", question(k))))
+    inner.append(F.transform(extra, lambda k: _error(_dotted(path, k), "Extra inputs are not permitted", "extra_forbidden", shown(F.element_at(v.cast("map<string,variant>"), k)), "no such field; remove it", None, f"An object of kind {model.name}.", question(k))))
     found.append(F.when(is_object(v), F.concat(*inner)).otherwise(F.array().cast(f"array<{ERROR}>")))
     return F.concat(*found)
 

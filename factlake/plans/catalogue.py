@@ -93,7 +93,7 @@ def save_action_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT event_id AS seq, 'user' || user_id || '..Activity' AS key FROM events WHERE event_type = 'error')
-SELECT seq, key, 'REJECTED' AS action, 'key' AS path, 'key_pattern' AS error_type, '"' || key || '"' AS received, '{app}.Activity' AS expected FROM l""")
+SELECT seq, key, 'REJECTED' AS action, 'key' AS path, 'key_pattern_mismatch' AS error_type, '"' || key || '"' AS received, 'one of: {app}.Activity' AS expected FROM l""")
 def save_rejected(spark: SparkSession, d: str) -> DataFrame:
     e = F.get("errors", F.lit(0))
     return _saved(spark, d)[0].filter("not ok").select("seq", "key", "action", e["path"].alias("path"), e["error_type"].alias("error_type"), e["received"].alias("received"), e["expected"].alias("expected"))
@@ -113,21 +113,61 @@ def save_incremental(spark: SparkSession, d: str) -> DataFrame:
     return save.save_batch(_requests(events.filter(F.col("event_id") > middle)), before, saver)[0].filter("ok").select("seq", "key", "action", "version", "hashcode")
 
 
-@query(f"WITH {LOG_SQL} SELECT seq, key, action, score AS completeness FROM r")
+@query("""WITH s AS (SELECT user_id, count(*) AS n, min(event_type) AS least, max(event_type) AS most, max(event_id) AS seq FROM events GROUP BY user_id)
+SELECT 'user' || user_id || '.Activity' AS key, CASE WHEN least = most THEN 'UNCHANGED' ELSE 'UPDATED' END AS action, CASE WHEN least = most THEN 12.5::DOUBLE ELSE 50.0::DOUBLE END AS completeness FROM s""")
 def save_completeness_recompute(spark: SparkSession, d: str) -> DataFrame:
-    return _saved(spark, d)[0].filter("ok").select("seq", "key", "action", "completeness")
+    """Against a snapshot whose scores are stale: an unchanged object keeps the stored score, a changed one is scored anew."""
+    events = table(spark, d, "events").groupBy("user_id").agg(F.min("event_type").alias("least"), F.max("event_type").alias("most"), F.max("event_id").alias("seq"))
+    request = lambda kind, seq: events.select(seq.alias("seq"), F.lit("Activity").alias("saver"), F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit(".Activity")).alias("key"), F.to_json(F.struct(F.col(kind).alias("event_type"))).alias("payload"), F.lit(None).cast("string").alias("app_id"))
+    _, before = save.save_batch(request("least", F.col("seq")), None, {"Activity": ACTIVITY})
+    return save.save_batch(request("most", F.col("seq")), before.withColumn("completeness", F.lit(12.5)), {"Activity": ACTIVITY})[0].select("key", "action", "completeness")
 
 
 @query(f"WITH {LOG_SQL} SELECT seq, key, action, version FROM r")
 def save_streamed(spark: SparkSession, d: str) -> DataFrame:
-    """The save log as a stream, batch by batch, into the warehouse; its results must equal the batch's."""
+    """The save log as a stream of three batches, each against the snapshot that the one before it stored; the results must equal those of one batch."""
     where = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/stream-{uuid.uuid4().hex}"
-    _requests(table(spark, d, "events")).coalesce(1).write.parquet(f"{where}/in")
-    stream = spark.readStream.schema("seq long, saver string, key string, payload string, app_id string").parquet(f"{where}/in")
-    save_stream(stream, where, {"Activity": ACTIVITY}).awaitTermination()
+    requests = _requests(table(spark, d, "events"))
+    last = requests.agg(F.max("seq")).first()[0] or 0
+    for n in range(3):
+        requests.filter((F.col("seq") > last * n // 3) & (F.col("seq") <= last * (n + 1) // 3) | (F.lit(n == 0) & (F.col("seq") <= 0))).write.mode("append").parquet(f"{where}/in")
+        stream = spark.readStream.schema("seq long, saver string, key string, payload string, app_id string").parquet(f"{where}/in")
+        save_stream(stream, where, {"Activity": ACTIVITY}).awaitTermination()
     return spark.read.parquet(f"{where}/results").filter("ok").select("seq", "key", "action", "version")
 
 
+@query("""SELECT event_id AS seq, event_type = 'click' AS ok, CASE WHEN event_type = 'click' THEN NULL ELSE 'unknown_saver' END AS error_type,
+  CASE WHEN event_type = 'click' THEN NULL WHEN event_type = 'error' THEN 'null' ELSE '"' || event_type || '"' END AS received FROM events""")
+def save_unknown_saver(spark: SparkSession, d: str) -> DataFrame:
+    """A request whose saver is unknown or null is rejected, not lost."""
+    saver = F.when(F.col("event_type") == "click", "Activity").when(F.col("event_type") != "error", F.col("event_type"))
+    requests = _requests(table(spark, d, "events")).drop("saver")
+    requests = requests.join(table(spark, d, "events").select(F.col("event_id").alias("seq"), saver.alias("saver")), "seq")
+    return save.save_batch(requests, None, {"Activity": ACTIVITY})[0].select("seq", "ok", F.get("errors", F.lit(0))["error_type"].alias("error_type"), F.get("errors", F.lit(0))["received"].alias("received"))
+
+
+#: Keys for a saver of ``{app}.Note``, one for ``Shared.Note`` and one for ``{app}.Outputs.{doctype}``; % stands for a nation's name. Which of them fits, and what is received.
+KEY_CASES = [
+    ("Note", "%.Note", True), ("Note", "%.note", False), ("Note", "%.Note.More", False), ("Note", "Note", False), ("Note", ".Note", False), ("Note", "%.", False), ("Note", "Shared.Note", False), ("Note", "", False), ("Note", None, False), ("Note", "%..Note", False),
+    ("SharedNote", "Shared.Note", True), ("SharedNote", "shared.Note", False), ("SharedNote", "%.Note", False), ("Paper", "%.Outputs.SRS", True), ("Paper", "%.outputs.SRS", False), ("Paper", "%.Outputs.", False), ("Paper", "Shared.Outputs.SRS", False), ("Paper", "%.Note", False),
+]
+_NOTE = declared("Note", "note")
+KEY_SAVERS = {"Note": Saver(_NOTE, ("{app}.Note",)), "SharedNote": Saver(_NOTE, ("Shared.Note",)), "Paper": Saver(_NOTE, ("{app}.Outputs.{doctype}",), "DocumentOutputs")}
+_CASES_SQL = ", ".join(f"({n}, '{s}', {'NULL' if k is None else repr(k)}, {ok})" for n, (s, k, ok) in enumerate(KEY_CASES))
+
+
+@query(f"""WITH c AS (SELECT n_nationkey * 100 + n AS seq, s AS saver, replace(k, '%', n_name) AS key, fits FROM nation, (VALUES {_CASES_SQL}) AS v(n, s, k, fits))
+SELECT seq, fits AS ok, CASE WHEN fits THEN NULL ELSE 'key' END AS path, CASE WHEN fits THEN NULL ELSE 'key_pattern_mismatch' END AS error_type, CASE WHEN fits THEN NULL WHEN key IS NULL THEN 'null' ELSE '"' || key || '"' END AS received,
+  CASE WHEN fits THEN NULL ELSE 'one of: ' || CASE saver WHEN 'Note' THEN '{{app}}.Note' WHEN 'SharedNote' THEN 'Shared.Note' ELSE '{{app}}.Outputs.{{doctype}}' END END AS expected,
+  CASE WHEN coalesce(key, '') = '' THEN '(empty)' ELSE key END AS key FROM c""")
+def key_reject_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that fit and keys that don't, of each kind of pattern."""
+    cases = spark.createDataFrame([(n, s, k) for n, (s, k, _) in enumerate(KEY_CASES)], "n int, saver string, k string")
+    rows = table(spark, d, "nation").crossJoin(F.broadcast(cases)).select((F.col("n_nationkey") * 100 + F.col("n")).cast("long").alias("seq"), "saver", F.replace("k", F.lit("%"), F.col("n_name")).alias("key"), F.lit('{"note":"x"}').alias("payload"), F.lit(None).cast("string").alias("app_id"))
+    e = F.get("errors", F.lit(0))
+    return save.save_batch(rows, None, KEY_SAVERS)[0].select("seq", "ok", "key", *[e[n].alias(n) for n in ("path", "error_type", "received", "expected")])
+
+
 # ---- keys ---------------------------------------------------------------------------------------------------------------
 
 
@@ -218,6 +258,23 @@ def canonical_hash_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", sha256_hex(canonical(payload)).alias("hashcode"))
 
 
+#: JSON texts and their canonical form, written out: numbers as JSON has them, keys by code point, escapes in lower case, the last of repeated keys.
+CANONICAL_CASES = [
+    ('{"b": 1.0, "a": -0.0}', '{"a":-0.0,"b":1.0}'), ("[1e2, 1E-7, 0.1, 1.5e300]", "[100.0,1e-07,0.1,1.5e+300]"), ("[12345678901234567890123456789012345678901, -0, 7]", "[12345678901234567890123456789012345678901,0,7]"),
+    ('{"\U0001f600": 1, "\uffee": 2, "z": 3}', '{"z":3,"\uffee":2,"\U0001f600":1}'), ('{"k": "\\u001F\\u000b\\n\\\\u001F"}', '{"k":"\\u001f\\u000b\\n\\\\u001F"}'), ('{"k": 1, "j": 2, "k": 3}', '{"j":2,"k":3}'), (' { "x" : [ ] , "w" : { } } ', '{"w":{},"x":[]}'),
+    ('"\\u00e9 \\/"', '"\u00e9 /"'), ("{broken", None), ("", None), ("NaN", None), ("null", "null"), ('{"v": "1.0, 2.5e3", "n": 12}', '{"n":12,"v":"1.0, 2.5e3"}'),
+]
+_CANONICAL_SQL = ", ".join(f"({n}, {'NULL' if c is None else chr(39) + c + chr(39)})" for n, (_, c) in enumerate(CANONICAL_CASES))
+
+
+@query(f"SELECT n_nationkey, n, c AS canonical, sha256(c) AS hashcode FROM nation, (VALUES {_CANONICAL_SQL}) AS v(n, c)")
+def canonical_numbers_and_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical forms that a plain reading of JSON would miss."""
+    cases = spark.createDataFrame([(n, j) for n, (j, _) in enumerate(CANONICAL_CASES)], "n int, j string")
+    rows = table(spark, d, "nation").select("n_nationkey").crossJoin(F.broadcast(cases))
+    return rows.select("n_nationkey", "n", canonical(F.col("j")).alias("canonical")).withColumn("hashcode", sha256_hex(F.col("canonical")))
+
+
 @query("""SELECT page_id, sha256(CAST(json_object('html', html, 'url', url) AS VARCHAR)) AS hashcode FROM pages""")
 def canonical_hash_pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", sha256_hex(canonical_struct(url=F.col("url"), html=F.col("html"))).alias("hashcode"))

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..functions.canonical import canonical, sha256_hex
-from ..functions.registry import FACTS, SAVERS
+from ..functions.registry import SAVERS
 from ..operators.build import build_documents
 from ..operators.render import render_markdown
 from ..operators.save import save_batch
@@ -19,7 +18,7 @@ def seed(requests: DataFrame, callers: DataFrame, doc_types: tuple[str, ...], sn
     requests: seq, saver, key, payload, app_id. callers: app_id, doc_type, control, history (JSON text).
     Facts and bodies are persisted, since several results read them. Gives results, facts, markdown (app_id, doc_type, markdown), missing (app_id, doc_type, missing) and failures.
     """
-    there = {r.saver for r in requests.filter(F.col("saver").isin(*FACTS)).select("saver").distinct().collect()}  # as many as the registry has, at most
+    there = {r.saver for r in requests.filter(F.col("saver").isin(*SAVERS)).select("saver").distinct().collect()}  # as many as the registry has, at most
     results, facts = save_batch(requests, snapshot, {n: s for n, s in SAVERS.items() if n in there})
     facts = facts.persist()
     markdown = missing = failures = None
@@ -37,8 +36,3 @@ def seed(requests: DataFrame, callers: DataFrame, doc_types: tuple[str, ...], sn
         failures = failed if failures is None else failures.unionByName(failed)
     return {"results": results, "facts": facts, "markdown": markdown, "missing": missing, "failures": failures}
 
-
-def stored_form(json_text):
-    """(canonical text, hash) of JSON text."""
-    text = canonical(json_text)
-    return text, sha256_hex(text)

@@ -38,27 +38,52 @@ def _pointer(spark: SparkSession, table: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def _current(spark: SparkSession, table: str) -> str | None:
+    """The name of the current snapshot, if there is one."""
+    fs, path = _pointer(spark, table)
+    return spark.read.text(path.toString()).first()[0] if fs.exists(path) else None
+
+
 def read_table(spark: SparkSession, table: str) -> DataFrame:
     """The table's current snapshot; empty before the first write."""
     key_column(table)
-    fs, path = _pointer(spark, table)
-    if not fs.exists(path):
+    name = _current(spark, table)
+    if name is None:
         return spark.createDataFrame([], schema(table))
-    name = spark.read.text(path.toString()).first()[0]
     return spark.read.schema(schema(table)).parquet(f"{store_path(spark)}/{table}/{name}")
 
 
 def write_rows(spark: SparkSession, table: str, rows: DataFrame) -> None:
-    """Inserts or replaces whole rows by key."""
+    """Inserts or replaces whole rows by key; raises if a key is there twice, and leaves the table as it was then.
+
+    The pointer is written aside and renamed, so a reader meets the old snapshot or the new one. One writer at a time: a second one that began
+    from the same snapshot is refused (FileExistsError), since snapshots are numbered and a number is taken once.
+    """
     key = key_column(table)
-    old = read_table(spark, table).join(rows.select(key), key, "left_anti")
-    name = f"v-{uuid.uuid4().hex}"
+    twice = rows.groupBy(key).count().filter("count > 1").select(key).limit(1).collect()
+    if twice:
+        raise ValueError(f"{table}: the key {twice[0][0]!r} is there twice")
     columns = [f.name for f in schema(table).fields]
-    old.select(columns).unionByName(rows.select(columns)).write.parquet(f"{store_path(spark)}/{table}/{name}")
+    before = _current(spark, table)
+    number = int(before.split("-")[1]) + 1 if before else 1
     fs, path = _pointer(spark, table)
-    out = fs.create(path, True)
-    out.write(bytearray(name.encode()))
-    out.close()
+    claim = path.suffix(f"-{number}")
+    if not fs.createNewFile(claim):
+        raise FileExistsError(f"{table}: snapshot {number} is being written, or its writer failed; remove {claim} then")
+    try:
+        old = read_table(spark, table).join(rows.select(key), key, "left_anti")
+        name = f"v-{number}-{uuid.uuid4().hex}"
+        old.select(columns).unionByName(rows.select(columns)).write.parquet(f"{store_path(spark)}/{table}/{name}")
+        aside = path.suffix(f"-{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
+        out.write(bytearray(name.encode()))
+        out.close()
+        context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), spark._jsc.hadoopConfiguration())
+        options = spark._jvm.java.lang.reflect.Array.newInstance(spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        options[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+        context.rename(aside, path, options)
+    finally:
+        fs.delete(claim, False)
 
 
 def init_schema(spark: SparkSession) -> None:

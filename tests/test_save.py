@@ -31,7 +31,7 @@ def test_actions_versions_and_rejections(spark):
     ]
     assert sorted((r.key, r.version, r.app_id, r.table) for r in snapshot.collect()) == [("A.Note", 3, "A", "KnowledgeFacts"), ("B.Note", 1, "B", "KnowledgeFacts")]
     kinds = {r.seq: r.errors[0].error_type for r in results.filter("not ok").collect()}
-    assert kinds == {3: "string_too_short", 5: "key_pattern", 6: "key_pattern", 7: "app_id_mismatch", 9: "key_pattern"}
+    assert kinds == {3: "string_too_short", 5: "key_pattern_mismatch", 6: "key_pattern_mismatch", 7: "app_id_mismatch", 9: "key_pattern_mismatch"}
 
 
 def test_saving_again_changes_nothing(spark):
@@ -103,3 +103,12 @@ def test_store(spark, tmp_path):
     with pytest.raises(ValueError, match="no table"):
         store.key_column("Other")
     spark.conf.unset(store.SETTING)
+
+
+def test_requests_without_a_known_saver_are_rejected(spark):
+    rows = [(1, "Nobody", "A.Kpis", "{}", None), (2, None, None, None, None)]
+    requests = spark.createDataFrame(rows, "seq long, saver string, key string, payload string, app_id string")
+    results, snapshot = save.save_batch(requests)
+    got = {r.seq: r for r in results.collect()}
+    assert len(got) == 2 and not any(r.ok for r in got.values()) and {r.errors[0].error_type for r in got.values()} == {"unknown_saver"}
+    assert got[1].errors[0].received == '"Nobody"' and got[2].errors[0].received == "null" and snapshot.count() == 0
