@@ -108,7 +108,7 @@ def test_store(spark, tmp_path):
 def test_requests_without_a_known_saver_are_rejected(spark):
     rows = [(1, "Nobody", "A.Kpis", "{}", None), (2, None, None, None, None)]
     requests = spark.createDataFrame(rows, "seq long, saver string, key string, payload string, app_id string")
-    results, snapshot = save.save_batch(requests)
+    results, snapshot = save_batch(requests)
     got = {r.seq: r for r in results.collect()}
     assert len(got) == 2 and not any(r.ok for r in got.values()) and {r.errors[0].error_type for r in got.values()} == {"unknown_saver"}
     assert got[1].errors[0].received == '"Nobody"' and got[2].errors[0].received == "null" and snapshot.count() == 0
