@@ -49,7 +49,7 @@ def test_planted_passages_are_found_wherever_they_lie(spark):
 
 def test_near_paragraphs_are_verified(spark):
     rng = random.Random(5)
-    base = prose(rng, 24).split()  # one paragraph by itself
+    base = prose(rng, 24).split()  # one line by itself
     near, far = list(base), list(base)
     near[0] = "changed"
     for i in range(0, 24, 5):
@@ -63,6 +63,54 @@ def test_near_paragraphs_are_verified(spark):
     assert 3 not in whole
 
 
+def shingled(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_equal_lines_and_short_texts_always_meet(spark):
+    rng, rows = random.Random(8), []
+    for k in range(60):
+        line = prose(rng, rng.choice([15, 16, 20, 30, 60, 200]))
+        rows += [(len(rows) + i, "\n".join((prose(rng, rng.randrange(1, 40)), line, prose(rng, rng.randrange(1, 40))))) for i in range(2)]
+    short = [(1000 + i, prose(random.Random(i // 2), 1 + i // 2 % 9)) for i in range(18)]
+    found = paragraphs.repeated(spark.createDataFrame(rows + short, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {d for d, _ in rows + short}
+    text = {d: t.encode() for d, t in rows + short}
+    for k in range(60):
+        line = text[2 * k].split(b"\n")[1]
+        for d in (2 * k, 2 * k + 1):
+            assert any(text[d][r.start : r.end] == line and r.component_id for r in found if r.doc_id == d)
+    assert {r.doc_id for r in found if r.removed} == {d for d, _ in rows + short if d % 2}
+
+
+def test_headings_and_set_phrases_are_left_alone(spark):
+    rng = random.Random(9)
+    rows = [(d, "\n".join(("The same heading of nine words stands over everything", prose(rng, 60), "All rights reserved by the authors of this text here", prose(rng, 30)))) for d in range(40)]
+    assert paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
+def test_recall_of_changed_lines(spark):
+    """At each similarity of 0.75 or more, nine of ten changed lines are found at least; lines under 0.5 never meet as wholes."""
+    rng, rows, alike = random.Random(10), [], {}
+    for k in range(600):
+        line = prose(rng, 60).split()
+        other = list(line)
+        for at in rng.sample(range(60), rng.choice([1, 1, 2, 3, 8])):
+            other[at] = "changed" + str(rng.randrange(10**6))
+        a, b = shingled(" ".join(line)), shingled(" ".join(other))
+        alike[k] = len(a & b) / len(a | b)
+        rows += [(2 * k, "\n".join((prose(rng, 20), " ".join(line)))), (2 * k + 1, "\n".join((prose(rng, 20), " ".join(other))))]
+    found = paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = defaultdict(set)
+    for r in found:
+        groups[r.component_id].add(r.doc_id)
+    met = {k for k in alike if any({2 * k, 2 * k + 1} <= g for g in groups.values())}
+    for least, most in ((0.75, 0.8), (0.8, 0.9), (0.9, 1.0)):
+        own = [k for k, j in alike.items() if least <= j < most]
+        assert not own or sum(k in met for k in own) >= 0.9 * len(own), (least, len(own))
+
+
 def test_query_finds_all_long_repeats(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     seen = defaultdict(set)
