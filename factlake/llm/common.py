@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,21 +22,41 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 @cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="factlake-")
+    folder = tempfile.mkdtemp(prefix="factlake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``), or a temporary one where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_local_folder()}"
+    """The folder that driver and executors share (``spark.checkpoint.dir``); in local mode a temporary one where none is set.
+
+    On a cluster a folder of one machine would lose rows silently, so there the setting is required.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{_local_folder()}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/factlake/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this application has written by written(); results that still read it must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there, so that a lost executor costs reads, not recomputation.
 
-    Each call writes to a folder of its own; the session's owner removes the shared folder.
+    Each call writes to a folder of its own, under one folder for each application, so that what a run has written can be removed (clear()) when its results are.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/factlake/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
