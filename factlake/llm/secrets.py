@@ -1,8 +1,8 @@
 """Secret scans through a trigram inverted index, with DataFrame functions only.
 
-From each rule's regular expression a Boolean trigram query is derived (an OR of ANDs). Postings (trigram, document key) are
-written for the trigrams the rules ask for; a rule's candidates come from intersecting its postings, and only candidates are
-verified by the regular expression. A rule without mandatory trigrams (long hex runs) scans every text.
+From each rule's regular expression a Boolean trigram query is derived (an OR of ANDs). A text's own trigrams are taken in one pass, and postings
+(trigram, document key) are written for those that rules name. A rule's candidates come from intersecting the postings of each of its clauses, and
+only candidates are verified by the regular expression. A rule without mandatory trigrams (long hex runs) scans every text.
 
 A document key is a 64-bit hash of id and text. Documents that share a key share candidates, which costs a verification at
 most, so results don't rest on keys being unique.
@@ -24,6 +24,8 @@ from .common import carried, restored, text_of, written
 
 #: Candidate tables of at most this many rows (under 100 bytes each) are broadcast to the texts; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Characters of a text whose trigrams are held at once; matches whose places are put together at once.
+STRETCH, RUN = 1 << 20, 256
 
 
 def _either(word: str) -> str:
@@ -125,43 +127,58 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The inverted index: (trigram, _key) for all trigrams that a rule's query names."""
-    wanted = sorted({t for r in rules for clause in trigram_query(r.pattern) for t in clause})
+    """The inverted index: (trigram, _key) for all trigrams of a text that a rule's query names."""
+    wanted = F.array(*map(F.lit, sorted({t for r in rules for clause in trigram_query(r.pattern) for t in clause})))
     low = keyed(docs).select("_key", F.lower(text_of(docs)).alias("_low"))
-    there = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in wanted]))
-    return low.select(F.explode(there).alias("trigram"), "_key")
+    own = lambda part: F.array_intersect(F.regexp_extract_all(part, F.lit("(?s)(?=(...))"), F.lit(1)), wanted)
+    stretches = F.sequence(F.lit(0), F.floor(F.char_length("_low") / STRETCH).cast("int"))
+    every = F.when(F.char_length("_low") <= STRETCH, own(F.col("_low"))).otherwise(F.array_distinct(F.flatten(F.transform(stretches, lambda i: own(F.substring(F.col("_low"), i * STRETCH + 1, F.lit(STRETCH + 2)))))))
+    return low.select(F.explode(every).alias("trigram"), "_key")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Document keys with the kinds whose trigram query they satisfy, by intersecting postings."""
-    have = index.groupBy("_key").agg(F.collect_set("trigram").alias("_have"))
-    clause = lambda c: F.size(F.array_except(F.array(*map(F.lit, c)), "_have")) == 0
+    """Document keys with the kinds whose trigram query they satisfy: those that are in the postings of all trigrams of one of its clauses."""
+    asked = []
+    for r in rules:
+        for n, clause in enumerate(trigram_query(r.pattern)):
+            if len(clause) > 62:
+                raise ValueError(f"{r.kind}: a clause names {len(clause)} trigrams")
+            asked += [F.struct(F.lit(t).alias("trigram"), F.lit(r.kind).alias("kind"), F.lit(n).alias("clause"), F.lit(1 << i).cast("long").alias("bit"), F.lit((1 << len(clause)) - 1).cast("long").alias("all")) for i, t in enumerate(clause)]
+    clauses = index.sparkSession.range(1).select(F.inline(F.array(*asked)))  # a row for each trigram of a clause
+    met = index.join(F.broadcast(clauses), "trigram").groupBy("_key", "kind", "clause", "all").agg(F.bit_or("bit").alias("bits")).filter(F.col("bits") == F.col("all"))
+    return met.groupBy("_key").agg(F.collect_set("kind").alias("_kinds"))  # at most as many as there are rules
 
-    def meets(r: Rule) -> Column:
-        first, *rest = [clause(c) for c in trigram_query(r.pattern)]
-        for c in rest:
-            first |= c
-        return F.when(first, F.lit(r.kind))
 
-    kinds = F.array_compact(F.array(*[meets(r) for r in rules if trigram_query(r.pattern)]))
-    return have.select("_key", kinds.alias("_kinds")).filter(F.size("_kinds") > 0)
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.transform(F.array(value), then)[0]
 
 
 def _found(text: Column, rule: Rule, place: int) -> Column:
-    """Structs (start, place, end) of the rule's matches: what lies between them, and they, give their places."""
+    """Structs (start, place, end) of the rule's matches: what lies between them, and they, give their places.
+
+    Places are summed up in runs of RUN matches, and over the runs, so that time grows with the matches and not with their square.
+    """
     whole, part = (F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g)) for g in (0, rule.group))
     between = F.split(text, rule.pattern, -1)
-    row = F.struct(F.lit(0).cast("long").alias("start"), F.lit(place).alias("place"), F.lit(0).cast("long").alias("end"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.slice(F.array(row), 1, 0).alias("out"))
+    span = lambda start, end: F.struct(start.cast("long").alias("start"), F.lit(place).alias("place"), end.cast("long").alias("end"))
+    none = F.slice(F.array(span(F.lit(0), F.lit(0))), 1, 0)
 
     def step(acc, x):
         begin = acc["at"] + F.char_length(x["between"])
         end = begin + F.char_length(x["whole"])
-        span = F.struct(begin.cast("long").alias("start"), F.lit(place).alias("place"), end.cast("long").alias("end"))
-        return F.struct(end.cast("long").alias("at"), F.when(F.char_length(x["part"]) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.cast("long").alias("at"), F.when(F.char_length(x["part"]) >= rule.least, F.concat(acc["out"], F.array(span(begin, end)))).otherwise(acc["out"]).alias("out"))
+
+    def placed(acc, run):
+        moved = F.transform(run["out"], lambda s: span(acc["at"] + s["start"], acc["at"] + s["end"]))
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def runs(matches):
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(matches) / RUN).cast("int")), lambda i: F.aggregate(F.slice(matches, i * RUN + 1, F.lit(RUN)), F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step))
 
     zipped = F.arrays_zip(whole.alias("whole"), part.alias("part"), F.slice(between, F.lit(1), F.size(whole)).alias("between"))
-    return F.aggregate(zipped, start, step)["out"]
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.slice(F.array(none), 1, 0).alias("out"))
+    return F.flatten(F.aggregate(_let(zipped, runs), start, placed)["out"])
 
 
 def scanned(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -190,17 +207,17 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]", rules: tuple[Rule, ...] =
     """``docs`` with every span replaced by ``mask`` (overlapping spans by one) and n_chars counted anew where a text changed."""
     rows = scanned(carried(docs, "doc_id", "text"), rules)
     text = text_of(rows)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
         before = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
         new = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], before, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], F.array(before, F.lit(mask)))).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate("_spans", start, step)
     rows = rows.withColumn("_done", F.when(F.size("_spans") > 0, done))
     rest = F.substring(text, (F.col("_done.at") + 1).cast("int"), F.char_length(text))
-    new = F.concat("_done.out", rest)
+    new = F.concat(F.array_join("_done.out", ""), rest)
     was = lambda name, then: F.when(F.col("_done").isNull(), F.col("_row").getField(name)).otherwise(then)
     changed = {"text": was("text", new)} | ({"n_chars": was("n_chars", F.char_length(new).cast("long"))} if "n_chars" in docs.columns else {})
     return rows.select(*restored(rows, docs.columns, **changed))

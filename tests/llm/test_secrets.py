@@ -57,6 +57,38 @@ def test_shuffled_candidates_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, secrets.digest(df).collect())) == few
 
 
+@pytest.mark.parametrize("stretch", [1, 4, 1 << 20])
+def test_postings_are_each_text_s_own_trigrams(spark, monkeypatch, stretch):
+    monkeypatch.setattr(secrets, "STRETCH", stretch)
+    wanted = {t for r in secrets.RULES for c in secrets.trigram_query(r.pattern) for t in c}
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    key = {r._key: r.text or "" for r in secrets.keyed(df).collect()}
+    got = {}
+    index = secrets.postings(df).cache()
+    for r in index.collect():
+        got.setdefault(r._key, []).append(r.trigram)
+    for k, text in key.items():
+        low = text.lower()
+        assert sorted(got.get(k, [])) == sorted(wanted & {low[i : i + 3] for i in range(len(low) - 2)})
+    kinds = {r._key: set(r._kinds) for r in secrets.candidates(index).collect()}
+    for k, text in key.items():
+        meets = {r.kind for r in secrets.RULES if any(all(t in text.lower() for t in c) for c in secrets.trigram_query(r.pattern))}
+        assert kinds.get(k, set()) == meets
+
+
+def test_many_matches_take_time_in_line_with_their_number(spark):
+    import time
+
+    spent = []
+    for n in (5_000, 40_000):
+        df = spark.createDataFrame([(0, "é token=abcdefgh1 " * n)], "doc_id long, text string")
+        begin = time.time()
+        (row,) = secrets.digest(df).collect()
+        spent.append(time.time() - begin)
+        assert row.n_assign == n and row.spans.endswith(f":{17 * n + n - 1}") and row.spans.split(",")[n // 2] == f"assign:{n // 2 * 18 + 2}:{n // 2 * 18 + 17}"
+    assert spent[1] < 8 * spent[0] + 8
+
+
 def test_redaction(spark, odd, none):
     df = spark.createDataFrame([(1, "a password: hunter22 b 0123456789abcdef0123456789abcdef c", "q"), (2, "clean", "q"), (3, None, "q"), (4, "token=" + "a" * 40, "q")], "doc_id long, text string, _spans string")
     assert {r.doc_id: (r.text, r._spans) for r in secrets.redacted(df).collect()} == {1: ("a [SECRET] b [SECRET] c", "q"), 2: ("clean", "q"), 3: (None, "q"), 4: ("[SECRET]", "q")}
