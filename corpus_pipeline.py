@@ -28,7 +28,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, tokenizer_path())
+    """Workers remember fewer words than packing alone lets them, since the stages before have used up memory."""
+    return packing.packed(docs, tokenizer_path(), memo=250_000)
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("secret scans", secret_scan), ("mixing sources to target weights", mix), ("best-fit packing", pack)]

@@ -44,11 +44,11 @@ class Tokens:
     lowers letters, so ASCII ones may be lowered before, except near the special tokens' brackets.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = MEMO) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memo, self.most = Tokenizer.from_file(path), {}, most
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -65,7 +65,7 @@ class Tokens:
     def _ids(self, group: list[list[bytes]]) -> Iterator[bytes]:
         words = set().union(*group)
         new = list(words.difference(self.memo))
-        if len(self.memo) + len(new) > MEMO:
+        if len(self.memo) + len(new) > self.most:
             self.memo.clear()
             new = list(words)
         found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
@@ -75,15 +75,15 @@ class Tokens:
 
 
 @cache
-def _tokens(path: str) -> Tokens:
-    return Tokens(path)
+def _tokens(path: str, most: int) -> Tokens:
+    return Tokens(path, most)
 
 
-def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
-    """Documents as pieces of at most ``size`` token ids: doc_id, piece, start, length, ids_crc32."""
+def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, memo: int = MEMO) -> DataFrame:
+    """Documents as pieces of at most ``size`` token ids: doc_id, piece, start, length, ids_crc32. A worker remembers the ids of ``memo`` words at most (some 200 bytes each)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, tail = _tokens(path), np.array([end], "<u4").tobytes()
+        tokens, tail = _tokens(path, memo), np.array([end], "<u4").tobytes()
         for batch in slices(batches, 1):
             rows: list[list] = [[], [], [], [], []]
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
@@ -215,9 +215,9 @@ def slots(groups: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def packed(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
+def packed(docs: DataFrame, path: str, size: int = SIZE, end: int = END, memo: int = MEMO) -> DataFrame:
     """Pieces with the sequence and the offset that they get; other columns of ``docs`` are left out."""
-    cut = written(pieces(docs, path, size, end), "packing-pieces")
+    cut = written(pieces(docs, path, size, end, memo), "packing-pieces")
     counts = np.zeros(size + 1, np.int64)
     for length, n in cut.groupBy("length").count().collect():  # one row per length, at most ``size``
         counts[length] = n
