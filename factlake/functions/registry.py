@@ -6,6 +6,8 @@ compositions are fixed by the data that users have; labels, descriptions and que
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from dataclasses import dataclass, field, replace
 
@@ -76,6 +78,32 @@ def title(name: str) -> str:
     return " ".join(ACRONYMS.get(w, w[:1].upper() + w[1:].lower()) for w in name.split("_"))
 
 
+#: Descriptions and questions that an installation declares for its fields, by (model, field); others are derived by rule.
+TEXTS: dict[tuple[str, str], dict[str, str]] = {}
+
+
+def declare_texts(texts: dict[str, dict[str, str]]) -> None:
+    """Takes over ``{"Model.field": {"description": ..., "question": ...}}``: rejections and missing lists then say these texts.
+
+    A question that isn't given is the description, as with fields that are declared without one. A section's field has its fact's texts.
+    Unknown fields raise.
+    """
+    for name, own in texts.items():
+        model, _, field_name = name.partition(".")
+        if model not in MODELS or field_name not in {f.name for f in MODELS[model].fields}:
+            raise ValueError(f"{name} is no field of the registry")
+        if unknown := set(own) - {"description", "question"}:
+            raise ValueError(f"{name}: {', '.join(sorted(unknown))} is neither description nor question")
+    for name, own in texts.items():
+        TEXTS[tuple(name.split("."))] = dict(own)
+
+
+def load_texts(path: str) -> None:
+    """declare_texts() from a JSON file, or from the file that the environment's FACTLAKE_TEXTS names."""
+    with open(path, encoding="utf-8") as file:
+        declare_texts(json.load(file))
+
+
 @dataclass(frozen=True)
 class Field:
     """kind: text, texts, items, item, enum, integer, number or flag."""
@@ -104,11 +132,15 @@ class Field:
 
     @property
     def description(self) -> str:
-        return f"{self.label} of the {' '.join(re.findall('[A-Z][a-z]*|[A-Z]+(?![a-z])', self.owner)).lower() or 'object'}."
+        return TEXTS.get((self.owner, self.name), {}).get("description") or f"{self.label} of the {self._owner_words()}."
 
     @property
     def question(self) -> str:
-        return f"What is the {self.label.lower()} of the {' '.join(re.findall('[A-Z][a-z]*|[A-Z]+(?![a-z])', self.owner)).lower() or 'object'}?"
+        own = TEXTS.get((self.owner, self.name), {})
+        return own.get("question") or own.get("description") or f"What is the {self.label.lower()} of the {self._owner_words()}?"
+
+    def _owner_words(self) -> str:
+        return " ".join(re.findall("[A-Z][a-z]*|[A-Z]+(?![a-z])", self.owner)).lower() or "object"
 
 
 @dataclass(frozen=True)
@@ -172,6 +204,8 @@ def _fill() -> None:
 
 
 _fill()
+if os.environ.get("FACTLAKE_TEXTS"):
+    load_texts(os.environ["FACTLAKE_TEXTS"])
 
 NA = T.StructType([T.StructField("value", T.StringType()), T.StructField("na_reason", T.StringType())])
 

@@ -63,3 +63,24 @@ def test_canonical_text_and_hash(spark):
 def test_declared_notation():
     m = declared("T", "a! b c? d~ e* f*~ g*Kpi h=RequirementPriority! i=RequirementPriority? j#")
     assert [(f.kind, f.mandatory, f.nullable, f.na) for f in m.fields] == [("text", True, False, False), ("text", False, False, False), ("text", False, True, False), ("text", False, True, True), ("texts", False, False, False), ("texts", False, False, True), ("items", False, False, False), ("enum", True, False, False), ("enum", False, True, False), ("texts", False, False, False)]
+
+
+def test_an_installation_declares_its_own_texts(tmp_path):
+    from factlake.functions import registry
+
+    field = registry.MODELS["Support"]["contacts"]
+    by_rule = field.question
+    path = tmp_path / "texts.json"
+    path.write_text('{"Support.contacts": {"description": "People on duty", "question": "Who is on duty?"}, "Kpis.notes": {"description": "What else there is to say"}}')
+    try:
+        registry.load_texts(str(path))
+        assert (field.question, field.description) == ("Who is on duty?", "People on duty")
+        assert registry.MODELS["Kpis"]["notes"].question == "What else there is to say"
+        section = next(f for p, fact, _, f in registry.bindings("SMTD") if p == "support.contacts")
+        assert section.question == "Who is on duty?"
+        for wrong in ({"Nothing.x": {}}, {"Support.x": {}}, {"Support.contacts": {"label": "x"}}):
+            with pytest.raises(ValueError):
+                registry.declare_texts(wrong)
+    finally:
+        registry.TEXTS.clear()
+    assert field.question == by_rule
