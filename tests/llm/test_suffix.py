@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from factlake.llm import queries, suffix
+from factlake.llm import doubling, queries, suffix
 
 
 def brute(rows):
@@ -52,6 +52,36 @@ def test_against_brute_force(spark, seed):
     assert got(suffix.removed(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+@pytest.mark.parametrize("start", [7, 25, 50])
+def test_doubling_against_brute_force(spark, start):
+    """Rounds at offsets 7, 14, 22; 25; none."""
+    rows = crafted(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(doubling.removed(df, start)) == brute(rows)
+
+
+def test_doubling_ranks_are_ordinals_of_sorted_strings(spark):
+    rows = crafted(6)
+    texts = {i: t.encode() for i, (_, t) in enumerate(rows) if t}
+    df = spark.createDataFrame([(bytearray(t), i, i) for i, t in texts.items()], "raw binary, row long, id long")
+    ranks = doubling._ranked(doubling._positions(df, 10), "string")
+    for length, found in ((10, ranks.collect()), (20, doubling._ranked(doubling._after(ranks, 10), "rank", "next").collect())):
+        rank = {texts[r.row][r.pos : r.pos + length]: r["rank"] for r in found}
+        there = sorted(rank)
+        assert [rank[s] for s in there] == sorted(rank.values()) and len(set(rank.values())) == len(there)
+        every = {}
+        for i, t in texts.items():
+            for p in range(len(t) - length + 1):
+                every.setdefault(t[p : p + length], set()).add(i)
+        assert set(there) == {s for s, ids in every.items() if len(ids) > 1}
+
+
+def test_doubling_of_odd_documents(odd, none):
+    few = odd.filter("length(text) < 5000 or text is null")
+    assert got(doubling.removed(few)) == brute([(r.doc_id, r.text) for r in few.collect()])
+    assert doubling.removed(none).count() == 0
+
+
 def test_ranges_and_shuffled_verdicts(spark, monkeypatch):
     monkeypatch.setattr(suffix, "RANGE", 40)
     monkeypatch.setattr(suffix, "BROADCAST_BYTES", -1)
