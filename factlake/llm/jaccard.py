@@ -6,6 +6,8 @@ document gets the smallest doc_id that links reach. No pair is emitted for a gro
 1. Each document's set gets a key; equal sets are one class from here on.
 2. Two linked sets share so much that, of the ``SHARE`` of a set's shingles with the lowest hashes, a known number lies in the
    other set's lowest too, whatever its size. Shingles are grouped by hash range; classes with fewer shared ones than that number drop out.
+   A shingle that several sets of one batch share is counted there, and leaves the batch once, without its sets: so one that a third of all documents
+   share costs its range a few bytes per batch, not per document.
 3. Of the others, shingles are counted. Linked sets share one of their rarest shingles (prefix filter); classes that share
    one, directly or through others, form a block.
 4. A block's sets hang in a signature tree: nodes hold the OR of their sets' bitmaps, the range of sizes and the most
@@ -118,6 +120,37 @@ def _wide(low: bytes) -> np.ndarray:
 
 
 RANGED = "part int, keys binary, counts binary, tokens binary"
+#: What step 2 sends to a hash range: keys, how many single shingles each has there, these, how many of each key's are known to be shared, and shared shingles.
+LOOKED = "part int, keys binary, counts binary, tokens binary, known binary, told binary"
+
+
+def _combined(tokens: list[np.ndarray], keys: list[int], ranges: int) -> Iterator[tuple]:
+    """The LOOKED rows of a batch of sets."""
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
+    every = np.array(keys, np.int64)
+    owner = np.repeat(np.arange(len(every)), sizes)
+    # Shingles that sets of different keys have in this batch.
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(flat), 1), bool), flat[order][1:] != flat[order][:-1])))
+    shared, told = np.zeros(len(flat), bool), flat[:0]
+    if len(first):
+        own = every[owner[order]]
+        several = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+        shared[order] = np.repeat(several, np.diff(np.append(first, len(flat))))
+        told = flat[order][first[several]]
+    place, told_place = _range_of(flat, ranges), _range_of(told, ranges)
+    order = np.argsort(place, kind="stable")
+    flat, owner, place, shared = flat[order], owner[order], place[order], shared[order]
+    told = told[np.argsort(told_place, kind="stable")]
+    edges, told_edges = np.searchsorted(place, np.arange(ranges + 1)), np.searchsorted(np.sort(told_place), np.arange(ranges + 1))
+    for r in range(ranges):
+        a, b = edges[r], edges[r + 1]
+        if b > a:
+            own, at = np.unique(owner[a:b], return_inverse=True)
+            known = np.bincount(at, shared[a:b], len(own)).astype(np.uint32)
+            counts = np.bincount(at, ~shared[a:b], len(own)).astype(np.uint32)
+            yield r, every[own].tobytes(), counts.tobytes(), _low(flat[a:b][~shared[a:b]]), known.tobytes(), _low(told[told_edges[r] : told_edges[r + 1]])
 
 
 SHARED = "bucket int, keys binary, counts binary"
@@ -125,13 +158,20 @@ SHARED = "bucket int, keys binary, counts binary"
 
 def _shared_counts(table: pa.Table, buckets: int) -> pa.Table:
     """Of a hash range: for each set key, how many of its shingles another key has too; a row per bucket of keys."""
-    keys = np.concatenate([np.repeat(np.frombuffer(k, np.int64), np.frombuffer(c, np.uint32)) for k, c in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True)])
-    tokens = np.concatenate([_wide(t) for t in table["tokens"].to_pylist()])
+    joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
+    every, own, known = joined("keys", np.int64), joined("counts", np.uint32), joined("known", np.uint32)
+    single = np.concatenate([_wide(t) for t in table["tokens"].to_pylist()])
+    told = np.concatenate([_wide(t) for t in table["told"].to_pylist()])
+    tokens, keys, mark = np.concatenate((single, told)), np.concatenate((np.repeat(every, own), np.zeros(len(told), np.int64))), np.arange(len(single) + len(told)) >= len(single)
     order = np.argsort(tokens)
-    tokens, keys = tokens[order], keys[order]
-    first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-    several = np.minimum.reduceat(keys, first) != np.maximum.reduceat(keys, first)
-    found, counts = np.unique(keys[np.repeat(several, np.diff(np.append(first, len(keys))))], return_counts=True)
+    tokens, keys, mark = tokens[order], keys[order], mark[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(tokens), 1), bool), tokens[1:] != tokens[:-1])))
+    again = keys[:0]
+    if len(first):
+        several = (np.minimum.reduceat(keys, first) != np.maximum.reduceat(keys, first)) | np.logical_or.reduceat(mark, first)
+        again = keys[np.repeat(several, np.diff(np.append(first, len(keys)))) & ~mark]
+    found, at = np.unique(np.concatenate((every[known > 0], again)), return_inverse=True)
+    counts = np.bincount(at, np.concatenate((known[known > 0], np.ones(len(again), np.uint32))), len(found)).astype(np.int64)
     bucket = _range_of(found.view(np.uint64), buckets)
     order = np.argsort(bucket, kind="stable")
     found, counts, edges = found[order], counts[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -155,10 +195,10 @@ def _suspects(docs: DataFrame, classes: DataFrame, total: int, words: int, least
         for batch in slices(batches):
             found = [s for s in shingles(_texts(batch, 0), words) if len(s)]
             low = [s[: int(_looked_at(np.int64(len(s)), least))] for s in found]
-            out = list(_ranged(low, [key_of(s) for s in found], ranges))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))] + [pa.array([_low(x[3]) for x in out], pa.binary())], ["part", "keys", "counts", "tokens"])
+            out = list(_combined(low, [key_of(s) for s in found], ranges))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i else pa.int32()) for i in range(6)], [f.split()[0] for f in LOOKED.split(", ")])
 
-    ranged = docs.select(F.col("text").cast("string")).mapInArrow(rows, RANGED)
+    ranged = docs.select(F.col("text").cast("string")).mapInArrow(rows, LOOKED)
     shared = ranged.groupBy("part").applyInArrow(lean(partial(_shared_counts, buckets=ranges)), SHARED)
     shared = shared.groupBy("bucket").applyInArrow(lean(_summed), "set_key long, shared long")
 

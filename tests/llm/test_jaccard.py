@@ -151,3 +151,41 @@ def test_least_shared_holds_for_all_partners(least):
                 if 100 * both >= least * (a + b - both):
                     looked = [int(jaccard._looked_at(np.int64(n), least)) - (n - both) for n in (a, b)]
                     assert 1 <= low <= max(1, min(looked))
+
+
+def test_shared_counts_are_those_of_single_shingles():
+    """Combined per batch or not, each set is told how many of its shingles a set of another key has, once for each of its copies."""
+    rng = np.random.default_rng(4)
+    batches, ranges = [], 3
+    for _ in range(4):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 25)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(12)]
+        batches.append((sets + sets[:2], list(range(len(batches) * 100, len(batches) * 100 + 12)) + [len(batches) * 100, len(batches) * 100 + 1]))
+    holders = defaultdict(set)
+    for sets, keys in batches:
+        for s, k in zip(sets, keys, strict=True):
+            for t in s.tolist():
+                holders[t].add(k)
+    expected = Counter()
+    for sets, keys in batches:
+        for s, k in zip(sets, keys, strict=True):
+            expected[k] += sum(len(holders[t]) > 1 for t in s.tolist())
+    import pyarrow as pa
+
+    names, parts, total = [f.split()[0] for f in jaccard.LOOKED.split(", ")], defaultdict(list), Counter()
+    for sets, keys in batches:
+        for row in jaccard._combined(sets, keys, ranges):
+            parts[row[0]].append(row)
+    for rows in parts.values():
+        table = pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)})
+        found = jaccard._shared_counts(table, 2)
+        for k, c in zip(found["keys"].to_pylist(), found["counts"].to_pylist(), strict=True):
+            total.update(dict(zip(np.frombuffer(k, np.int64).tolist(), np.frombuffer(c, np.uint32).tolist(), strict=True)))
+    assert +total == +expected
+
+
+def test_a_shingle_that_a_third_of_documents_share_leaves_a_batch_once():
+    common = np.arange(1, 6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    own = np.random.default_rng(2).integers(1 << 40, 1 << 63, (3000, 3)).astype(np.uint64)
+    sets = [np.sort(np.concatenate((common, own[k]))) for k in range(3000)]
+    rows = list(jaccard._combined(sets, list(range(3000)), 1))
+    assert len(rows) == 1 and len(rows[0][5]) == 5 * len(common) and len(rows[0][3]) <= 5 * 9000
