@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, naming
 from ..functions.canonical import canonical, canonical_struct, sha256_hex
-from ..functions.registry import DOCUMENTS, FACTS, MODELS, SAVERS, Model, Saver, bindings, declared, title
+from ..functions.registry import DOCUMENTS, FACTS, MODELS, SAVERS, Field, Model, Saver, bindings, declared
 from ..operators import build, render, save, score, validate
 from ..sources import files, store
 from ..streaming.save_stream import save_stream
@@ -434,14 +434,14 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
     suppliers = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     component = suppliers.select(F.concat_ws(".", "n_name", F.lit("Components"), "s_name", F.lit("ApplicationOverview")).alias("key"), text("ApplicationOverview", F.col("s_name").alias("application_name"), F.lit("A component").alias("purpose")))
     kpis = F.array_sort(F.collect_list(F.struct(F.col("r_name").alias("name"), F.concat(F.lit("Share of "), "r_name").alias("definition"))))
-    shared = table(spark, d, "region").agg(kpis.alias("kpis")).select(F.lit("Shared.Kpis").alias("key"), text("Kpis", "kpis", F.lit("Reviewed weekly.").alias("notes")))
+    shared = table(spark, d, "region").agg(kpis.alias("kpis")).select(F.lit("Shared.Kpis").alias("key"), text("Kpis", "kpis", F.lit("Looked at each Monday.").alias("notes")))
     return overview.unionByName(plain).unionByName(component).unionByName(shared)
 
 
 SEGMENTS_SQL = "s AS (SELECT c_nationkey, list_sort(list(DISTINCT c_mktsegment)) AS seg FROM customer GROUP BY 1), n AS (SELECT nation.*, r_name, coalesce(seg, []) AS seg FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN s ON c_nationkey = n_nationkey WHERE n_regionkey > 0)"
 
 
-@query(f"WITH {SEGMENTS_SQL} SELECT n_name AS app_id, n_name AS application_name, 'Serves ' || r_name AS purpose, CASE WHEN n_nationkey > 12 THEN 'Tier 1' ELSE '' END AS business_criticality, len(seg)::BIGINT AS n_users, (SELECT count(*) FROM region) AS n_kpis, 'Reviewed weekly.' AS notes FROM n")
+@query(f"WITH {SEGMENTS_SQL} SELECT n_name AS app_id, n_name AS application_name, 'Serves ' || r_name AS purpose, CASE WHEN n_nationkey > 12 THEN 'Tier 1' ELSE '' END AS business_criticality, len(seg)::BIGINT AS n_users, (SELECT count(*) FROM region) AS n_kpis, 'Looked at each Monday.' AS notes FROM n")
 def build_document_fields(spark: SparkSession, d: str) -> DataFrame:
     b = build.build_documents(_facts(spark, d), "Overview")[0]
     s, k = "body.application_summary", "body.kpi_summary"
@@ -462,13 +462,14 @@ def build_missing(spark: SparkSession, d: str) -> DataFrame:
     return build.missing_rows(build.build_documents(_facts(spark, d), "SMTD")[0])
 
 
-@query("SELECT n_name AS app_id, r_name AS kpi, 'Reviewed weekly.' AS notes FROM nation, region WHERE n_regionkey > 0")
+@query("SELECT n_name AS app_id, r_name AS kpi, 'Looked at each Monday.' AS notes FROM nation, region WHERE n_regionkey > 0")
 def build_shared_broadcast(spark: SparkSession, d: str) -> DataFrame:
     b = build.build_documents(_facts(spark, d), "Overview")[0]
     return b.select("app_id", F.explode("body.kpi_summary.kpis.name").alias("kpi"), F.col("body.kpi_summary.notes").alias("notes"))
 
 
-@query(f"""SELECT n_name AS app_id, '{",".join(p for p, fact, _, _ in bindings("SMTD") if fact == "ApplicationOverview")}' AS unresolved FROM nation WHERE n_regionkey = 0""")
+@query("""SELECT n_name AS app_id, 'application_summary.application_name,application_summary.purpose,application_summary.business_overview,application_summary.target_users,application_summary.key_capabilities,application_summary.business_criticality,application_summary.out_of_scope,application_summary.technology_summary' AS unresolved
+FROM nation WHERE n_regionkey = 0""")
 def build_mandatory_failures(spark: SparkSession, d: str) -> DataFrame:
     failed = build.build_documents(_facts(spark, d), "SMTD")[1]
     return failed.select("app_id", F.array_join("unresolved", ",").alias("unresolved"))
@@ -477,7 +478,7 @@ def build_mandatory_failures(spark: SparkSession, d: str) -> DataFrame:
 NOTHING_SQL = """(SELECT string_agg('{"current_value":"","data_source":null,"definition":"Share of ' || r_name || '","measurement_frequency":"","name":"' || r_name || '","owner":"","target":"","unit":""}', ',' ORDER BY r_name) FROM region)"""
 
 
-@query(f"""WITH {SEGMENTS_SQL} SELECT n_name AS app_id, n_name || '.Outputs.Overview' AS key, '{{"application_summary":{{"application_name":"' || n_name || '","business_criticality":"' || CASE WHEN n_nationkey > 12 THEN 'Tier 1' ELSE '' END || '","business_overview":"","key_capabilities":[],"out_of_scope":[],"purpose":"Serves ' || r_name || '","target_users":[' || array_to_string(list_transform(seg, lambda x: '"' || x || '"'), ',') || '],"technology_summary":""}},"kpi_summary":{{"kpis":[' || {NOTHING_SQL} || '],"notes":"Reviewed weekly."}}}}' AS value FROM n""")
+@query(f"""WITH {SEGMENTS_SQL} SELECT n_name AS app_id, n_name || '.Outputs.Overview' AS key, '{{"application_summary":{{"application_name":"' || n_name || '","business_criticality":"' || CASE WHEN n_nationkey > 12 THEN 'Tier 1' ELSE '' END || '","business_overview":"","key_capabilities":[],"out_of_scope":[],"purpose":"Serves ' || r_name || '","target_users":[' || array_to_string(list_transform(seg, lambda x: '"' || x || '"'), ',') || '],"technology_summary":""}},"kpi_summary":{{"kpis":[' || {NOTHING_SQL} || '],"notes":"Looked at each Monday."}}}}' AS value FROM n""")
 def build_nested_body(spark: SparkSession, d: str) -> DataFrame:
     return build.build_documents(_facts(spark, d), "Overview")[0].select("app_id", "key", "value")
 
@@ -490,12 +491,17 @@ def build_component_ignored(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- rendering ----------------------------------------------------------------------------------------------------------
 
-_NAMES = sorted({f.name for m in MODELS.values() for f in m.fields})
 
+#: Headings written out.
+_TITLES = {"kpi_summary": "KPI Summary", "kpis": "KPIs", "ci_cd_tooling": "CI CD Tooling", "rpo": "RPO", "rto": "RTO", "slos": "SLOs", "error_id": "Error ID", "url": "URL", "id": "ID", "out_of_scope": "Out Of Scope", "sop_notes": "SOP Notes", "smtd": "SMTD", "srs": "SRS", "a": "A", "idle": "Idle"}
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{title(n)}')" for n in _NAMES) + ") AS x(name, title)")
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, t in _TITLES.items()) + """) AS x(name, title)
+UNION ALL SELECT replace(lower(n_name), ' ', '_'), array_to_string(list_transform(string_split(replace(lower(n_name), ' ', '_'), '_'), lambda w: upper(w[1]) || w[2:]), ' ') FROM nation""")
 def render_title(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").withColumn("title", render.title_of(F.col("name")))
+    """Field names as headings: acronyms, and nations as names of several words."""
+    names = spark.createDataFrame([(n,) for n in _TITLES], "name string").unionByName(table(spark, d, "nation").select(F.replace(F.lower("n_name"), F.lit(" "), F.lit("_")).alias("name")))
+    return names.withColumn("title", render.title_of(F.col("name")))
 
 
 @query("""SELECT doc_id, CASE WHEN toxic = 1 THEN '_N/A — toxic in ' || source || '_' WHEN quality = 1 THEN lang ELSE '_Not provided._' END AS shown FROM documents LEFT JOIN labels USING (doc_id)""")
@@ -539,13 +545,13 @@ def render_item_details(spark: SparkSession, d: str) -> DataFrame:
 def _callers(spark: SparkSession, d: str) -> DataFrame:
     """Control and history of each nation's documents, as JSON; nations of the last region lack a history."""
     rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    control = F.to_json(F.struct(F.concat("n_name", F.lit("-OVR-001")).alias("document_id"), F.concat("n_name", F.lit(" Overview")).alias("title"), F.lit("1.0").alias("document_version"), F.array("r_name", F.lit("Lead")).alias("approvers")))
-    history = F.to_json(F.struct(F.array(F.struct(F.lit("1.0").alias("version"), F.lit("2024-01-15").alias("date"), F.concat(F.lit("Made for "), "r_name").alias("summary"))).alias("revisions")))
+    control = F.to_json(F.struct(F.concat("n_name", F.lit("-DOC-7")).alias("document_id"), F.concat("n_name", F.lit(" Overview")).alias("title"), F.lit("1.0").alias("document_version"), F.array("r_name", F.lit("Lead")).alias("approvers")))
+    history = F.to_json(F.struct(F.array(F.struct(F.lit("1.0").alias("version"), F.lit("2023-05-09").alias("date"), F.concat(F.lit("Made for "), "r_name").alias("summary"))).alias("revisions")))
     return rows.select(F.col("n_name").alias("app_id"), F.explode(F.array(*map(F.lit, DOCUMENTS))).alias("doc_type"), control.alias("control"), F.when(F.col("n_regionkey") < 4, history).alias("history"))
 
 
-CONTROL_SQL = """'# ' || n_name || ' Overview' || chr(10) || chr(10) || '- **Document ID:** ' || n_name || '-OVR-001' || chr(10) || '- **Version:** 1.0' || chr(10) || '- **Status:** _Not provided._' || chr(10) || '- **Owner:** _Not provided._' || chr(10) || '- **Approvers:** ' || r_name || ', Lead' || chr(10) || '- **Created:** _Not provided._' || chr(10) || '- **Last Updated:** _Not provided._'"""
-HISTORY_SQL = """'## Revision History' || chr(10) || chr(10) || '| Version | Date | Author | Summary |' || chr(10) || '|---|---|---|---|' || chr(10) || '| 1.0 | 2024-01-15 | - | Made for ' || r_name || ' |'"""
+CONTROL_SQL = """'# ' || n_name || ' Overview' || chr(10) || chr(10) || '- **Document ID:** ' || n_name || '-DOC-7' || chr(10) || '- **Version:** 1.0' || chr(10) || '- **Status:** _Not provided._' || chr(10) || '- **Owner:** _Not provided._' || chr(10) || '- **Approvers:** ' || r_name || ', Lead' || chr(10) || '- **Created:** _Not provided._' || chr(10) || '- **Last Updated:** _Not provided._'"""
+HISTORY_SQL = """'## Revision History' || chr(10) || chr(10) || '| Version | Date | Author | Summary |' || chr(10) || '|---|---|---|---|' || chr(10) || '| 1.0 | 2023-05-09 | - | Made for ' || r_name || ' |'"""
 
 
 @query(f"SELECT n_name AS app_id, {CONTROL_SQL} AS block FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -574,7 +580,7 @@ BODY_SQL = " || ".join([
     f"CASE WHEN len(seg) > 0 THEN '**Target Users:**' || chr(10) || array_to_string(list_transform(seg, lambda x: '- ' || x), chr(10)) || {_GAP} ELSE '**Target Users:** _Not provided._' || {_GAP} END",
     _LINE("Key Capabilities", "'_Not provided._'"), _LINE("Business Criticality", "CASE WHEN n_nationkey > 12 THEN 'Tier 1' ELSE '_Not provided._' END"), _LINE("Out Of Scope", "'_Not provided._'"), _LINE("Technology Summary", "'_Not provided._'"),
     f"chr(10) || '## KPI Summary' || {_GAP}", f"'**KPIs:**' || {_GAP}", "'| Name | Definition | Unit | Target | Current Value | Measurement Frequency | Owner | Data Source |' || chr(10) || '|---|---|---|---|---|---|---|---|' || chr(10)",
-    f"(SELECT string_agg('| ' || r_name || ' | Share of ' || r_name || ' |' || repeat(' _Not provided._ |', 6), chr(10) ORDER BY r_name) FROM region) || {_GAP}", "'**Notes:** Reviewed weekly.'",
+    f"(SELECT string_agg('| ' || r_name || ' | Share of ' || r_name || ' |' || repeat(' _Not provided._ |', 6), chr(10) ORDER BY r_name) FROM region) || {_GAP}", "'**Notes:** Looked at each Monday.'",
 ])
 
 
@@ -634,9 +640,53 @@ def naming_tools(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("name", naming.to_snake(F.col("name")).alias("snake"), naming.is_pascal(F.col("name")).alias("pascal"))
 
 
-@query("SELECT 'none' AS problem WHERE false")
+#: Declarations and key patterns that break a rule each.
+_BAD_FIELDS = (
+    Field("BadName", "text", default="", owner="Bad"), Field("both", "text", mandatory=True, na=True, owner="Bad"), Field("given", "text", mandatory=True, default="x", owner="Bad"), Field("short", "texts", least=2, default=(), owner="Bad"), Field("choice", "enum", nullable=True, owner="Bad"),
+    Field("bound", "text", default="", binding="Kpis.notes", owner="Bad"), Field("twice", "text", default="", owner="Bad"), Field("twice", "text", default="", owner="Bad"),
+)
+_BAD_PATTERNS = (("entity", "app.Note"), ("entity", "{app}"), ("entity", "{app}..Note"), ("document", "{app}.SRS"))
+_PROBLEMS = [
+    "twice: declared twice", "BadName: the name isn't snake case", "both: a mandatory field can't be not applicable", "given: a mandatory field has no default", "short: a least length is for text", "choice: an enumeration has no values", "bound: an entity's field has no binding",
+    "app.Note: must start with {app} or Shared", "{app}: has an empty segment or only one", "{app}..Note: has an empty segment or only one", "{app}.SRS: documents are kept under .Outputs.",
+]
+
+
+@query("SELECT problem FROM (VALUES " + ", ".join("('" + p.replace("'", "''") + "')" for p in _PROBLEMS) + ") AS x(problem)")
 def registry_lint(spark: SparkSession, d: str) -> DataFrame:
-    """Problems of the registry's declarations and key patterns; there are none."""
-    own = [p for n in FACTS for p in naming.model_problems(MODELS[n], document=False)]
+    """Problems of declarations and key patterns: of the registry's there are none, of bad ones each rule's."""
+    own = [p for n in FACTS for p in naming.model_problems(MODELS[n], document=False)] + naming.model_problems(Model("Bad", _BAD_FIELDS), document=False)
     own += [p for s in SAVERS.values() for pattern in s.patterns for p in keys.pattern_problems("document" if s.table == "DocumentOutputs" else "entity", pattern)]
+    own += [p for kind, pattern in _BAD_PATTERNS for p in keys.pattern_problems(kind, pattern)]
     return spark.createDataFrame([(p,) for p in own], "problem string")
+
+
+_NONE = "_Not provided._"
+_LINES_SRS = ["'## Functional Requirements'", "''", f"'**Summary:** {_NONE}'", "''", "'**Requirements:**'", "''", "'| ID | Title | Description | Priority | Rationale | Acceptance Criteria |'", "'|---|---|---|---|---|---|'", f"'| R-' || n_nationkey || ' | Serve ' || r_name || ' | Within a\\| day. | MUST | {_NONE} | {_NONE} |'", f"'| S-' || n_nationkey || ' | Stay up | Always. | {_NONE} | _N/A — asked for_ | {_NONE} |'", "''", f"'**Out Of Scope:** {_NONE}'"]
+_LINES_SOP = ["'## Standard Operating Procedures'", "''", "'**Procedures:**'", "'1.'", "'  - **Name:** Restart ' || n_name", *[f"'  - **{x}:** {_NONE}'" for x in ("Purpose", "Trigger", "Frequency")], "'  - **Roles:**'", "'    - Operator'", f"'  - **Prerequisites:** {_NONE}'", "'  - **Steps:**'", "'    1. Stop'", "'    2. Start'", f"'  - **Verification:** {_NONE}'", f"'  - **Escalation:** {_NONE}'", "''", f"'**Notes:** {_NONE}'"]
+_LINES_SMTD = ["'## Deployment'", "''", "'**Release Process:** By ' || r_name", "''", *sum(([f"'**{x}:** {_NONE}'", "''"] for x in ("CI CD Tooling", "Release Frequency", "Rollback Procedure")), []), "'**Configuration Management:** Files'"]
+_SECTIONS = {"SRS": ("## Functional Requirements", _LINES_SRS), "SOP": ("## Standard Operating Procedures", _LINES_SOP), "SMTD": ("## Deployment", _LINES_SMTD)}
+
+
+@query(" UNION ALL ".join(f"SELECT n_name AS app_id, '{t}' AS doc_type, concat_ws(chr(10), {', '.join(lines)}) AS section FROM nation JOIN region ON n_regionkey = r_regionkey" for t, (_, lines) in _SECTIONS.items()))
+def document_pipelines(spark: SparkSession, d: str) -> DataFrame:
+    """Facts saved, then SRS, SOP and SMTD built, stored and rendered for every nation; of each document one section with what was saved."""
+    nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    name, region = F.col("n_name"), F.col("r_name")
+    item = lambda **c: F.to_json(F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in c.items()]))
+    list_of = lambda key, *items: F.concat(F.lit(f'{{"{key}":['), F.concat_ws(",", *items), F.lit("]}"))
+    asked = list_of("requirements", item(id=F.concat(F.lit("R-"), "n_nationkey"), title=F.concat(F.lit("Serve "), region), description="Within a| day.", priority="MUST"), item(id=F.concat(F.lit("S-"), "n_nationkey"), title="Stay up", description="Always.", rationale=F.struct(F.lit("asked for").alias("reason"))))
+    payloads = {
+        "ApplicationOverview": item(application_name=name, purpose=F.concat(F.lit("Serves "), region)),
+        "FunctionalRequirements": asked,
+        "Sop": list_of("procedures", item(name=F.concat(F.lit("Restart "), name), roles=F.array(F.lit("Operator")), steps=F.array(F.lit("Stop"), F.lit("Start")))),
+        "Deployment": item(release_process=F.concat(F.lit("By "), region), configuration_management="Files"),
+    }
+    each = [nations.select((F.col("n_nationkey") * 10 + i).cast("long").alias("seq"), F.lit(saver).alias("saver"), F.concat_ws(".", name, F.lit(saver)).alias("key"), p.alias("payload"), F.lit(None).cast("string").alias("app_id")) for i, (saver, p) in enumerate(payloads.items())]
+    requests = each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+    control, history = item(document_id=F.concat(F.lit("D-"), "n_nationkey"), title=name), F.lit('{"revisions":[]}')
+    callers = nations.select(name.alias("app_id"), F.explode(F.array(*map(F.lit, _SECTIONS))).alias("doc_type"), control.alias("control"), history.alias("history"))
+    shown = pipelines.seed(requests, callers, tuple(_SECTIONS))["markdown"]
+    head = F.create_map(*[F.lit(x) for t, (h, _) in _SECTIONS.items() for x in (t, h)])[F.col("doc_type")]
+    after = F.element_at(F.split("markdown", F.concat(F.lit("\n"), head, F.lit("\n"))), 2)
+    return shown.select("app_id", "doc_type", F.concat(head, F.lit("\n"), F.regexp_replace(F.split(after, "\n## ")[0], r"\n+\z", "")).alias("section"))

@@ -10,27 +10,27 @@ from factlake.operators.save import save_batch
 from factlake.plans.pipelines import seed
 from factlake.sources import files
 
-OVERVIEW = {"application_name": "Demo", "purpose": "Shows it.", "target_users": ["Testers"], "out_of_scope": {"reason": "none yet"}}
-KPIS = {"kpis": [{"name": "Pass | rate", "definition": "Two\nlines.", "data_source": {"reason": "by hand"}}], "notes": "Weekly."}
-SOP = {"procedures": [{"name": "Restart", "roles": ["Ops"], "steps": ["Stop", "Start"]}]}
-CONTROL = {"document_id": "D-1", "title": "Demo Overview", "approvers": ["A", "B"]}
-HISTORY = {"revisions": [{"version": "1.0", "date": "2024-01-15", "summary": "First."}], "notes": "Kept."}
+OVERVIEW = {"application_name": "Orchard", "purpose": "Counts apples.", "target_users": ["Pickers"], "out_of_scope": {"reason": "trees are counted elsewhere"}}
+KPIS = {"kpis": [{"name": "Yield", "definition": "Weight of apples.", "unit": "kg|tree", "owner": "Ada\nBell", "data_source": "Scales"}], "notes": "Each autumn."}
+SOP = {"procedures": [{"name": "Mow", "roles": ["Gardener"], "steps": ["Fuel up", "Mow the rows"]}]}
+CONTROL = {"document_id": "O-17", "title": "Orchard at a glance", "approvers": ["A", "B"]}
+HISTORY = {"revisions": [{"version": "1.0", "date": "2022-11-30", "summary": "Planted."}], "notes": "One row a year."}
 
 
 def facts(spark, **payloads):
-    rows = [(i, f, f"Shared.{f}" if f in SHARED_FACTS else f"Demo.{f}", json.dumps(p), None) for i, (f, p) in enumerate(payloads.items())]
+    rows = [(i, f, f"Shared.{f}" if f in SHARED_FACTS else f"Orchard.{f}", json.dumps(p), None) for i, (f, p) in enumerate(payloads.items())]
     df = spark.createDataFrame(rows, "seq long, saver string, key string, payload string, app_id string")
     return save_batch(df, None, {f: SAVERS[f] for f in payloads if f in FACTS})[1]
 
 
 def outputs(spark, bodies, doc_type="Overview"):
-    more = [(f"Demo.Outputs.{doc_type}.DocumentControl", json.dumps(CONTROL)), (f"Demo.Outputs.{doc_type}.RevisionHistory", json.dumps(HISTORY))]
+    more = [(f"Orchard.Outputs.{doc_type}.DocumentControl", json.dumps(CONTROL)), (f"Orchard.Outputs.{doc_type}.RevisionHistory", json.dumps(HISTORY))]
     return bodies.select("key", "value").unionByName(spark.createDataFrame(more, "key string, value string"))
 
 
-GOLDEN = """# Demo Overview
+GOLDEN = """# Orchard at a glance
 
-- **Document ID:** D-1
+- **Document ID:** O-17
 - **Version:** _Not provided._
 - **Status:** _Not provided._
 - **Owner:** _Not provided._
@@ -42,26 +42,26 @@ GOLDEN = """# Demo Overview
 
 | Version | Date | Author | Summary |
 |---|---|---|---|
-| 1.0 | 2024-01-15 | - | First. |
+| 1.0 | 2022-11-30 | - | Planted. |
 
-Kept.
+One row a year.
 
 ## Application Summary
 
-**Application Name:** Demo
+**Application Name:** Orchard
 
-**Purpose:** Shows it.
+**Purpose:** Counts apples.
 
 **Business Overview:** _Not provided._
 
 **Target Users:**
-- Testers
+- Pickers
 
 **Key Capabilities:** _Not provided._
 
 **Business Criticality:** _Not provided._
 
-**Out Of Scope:** _N/A — none yet_
+**Out Of Scope:** _N/A — trees are counted elsewhere_
 
 **Technology Summary:** _Not provided._
 
@@ -72,9 +72,9 @@ Kept.
 
 | Name | Definition | Unit | Target | Current Value | Measurement Frequency | Owner | Data Source |
 |---|---|---|---|---|---|---|---|
-| Pass \\| rate | Two lines. | _Not provided._ | _Not provided._ | _Not provided._ | _Not provided._ | _Not provided._ | _N/A — by hand_ |
+| Yield | Weight of apples. | kg\\|tree | _Not provided._ | _Not provided._ | _Not provided._ | Ada Bell | Scales |
 
-**Notes:** Weekly.
+**Notes:** Each autumn.
 """
 
 
@@ -83,7 +83,7 @@ def test_golden_document(spark):
     assert failures.count() == 0
     rendered, absent = render.render_markdown(outputs(spark, bodies), "Overview")
     assert rendered.first().markdown == GOLDEN and absent.count() == 0
-    assert json.loads(bodies.first().value)["application_summary"]["out_of_scope"] == {"reason": "none yet"}
+    assert json.loads(bodies.first().value)["application_summary"]["out_of_scope"] == {"reason": "trees are counted elsewhere"}
 
 
 def test_missing_fields_in_order(spark):
@@ -101,14 +101,14 @@ def test_no_overview_no_document(spark):
 def test_details_and_numbered_steps(spark):
     bodies, _ = build.build_documents(facts(spark, ApplicationOverview=OVERVIEW, Sop=SOP), "SOP")
     text = render.render_markdown(outputs(spark, bodies, "SOP"), "SOP")[0].first().markdown
-    assert "**Procedures:**\n1.\n  - **Name:** Restart\n" in text
-    assert "  - **Steps:**\n    1. Stop\n    2. Start\n" in text and "  - **Prerequisites:** _Not provided._" in text
+    assert "**Procedures:**\n1.\n  - **Name:** Mow\n" in text
+    assert "  - **Steps:**\n    1. Fuel up\n    2. Mow the rows\n" in text and "  - **Prerequisites:** _Not provided._" in text
 
 
 def test_absent_rows_and_unknown_types(spark):
     bodies, _ = build.build_documents(facts(spark, ApplicationOverview=OVERVIEW), "Overview")
     _, absent = render.render_markdown(bodies, "Overview")
-    assert absent.first().missing_key == "Demo.Outputs.Overview.DocumentControl"
+    assert absent.first().missing_key == "Orchard.Outputs.Overview.DocumentControl"
     with pytest.raises(render.RenderError):
         render.render_markdown(bodies, "Nothing")
     with pytest.raises(build.BuildError):
@@ -116,15 +116,15 @@ def test_absent_rows_and_unknown_types(spark):
 
 
 def test_whole_run_and_sinks(spark, tmp_path):
-    rows = [(0, "ApplicationOverview", "Demo.ApplicationOverview", json.dumps(OVERVIEW), None), (1, "Kpis", "Shared.Kpis", json.dumps(KPIS), None)]
+    rows = [(0, "ApplicationOverview", "Orchard.ApplicationOverview", json.dumps(OVERVIEW), None), (1, "Kpis", "Shared.Kpis", json.dumps(KPIS), None)]
     requests = spark.createDataFrame(rows, "seq long, saver string, key string, payload string, app_id string")
-    callers = spark.createDataFrame([("Demo", "Overview", json.dumps(CONTROL), json.dumps(HISTORY))], "app_id string, doc_type string, control string, history string")
+    callers = spark.createDataFrame([("Orchard", "Overview", json.dumps(CONTROL), json.dumps(HISTORY))], "app_id string, doc_type string, control string, history string")
     run = seed(requests, callers, ("Overview",))
     files.write_markdown(run["markdown"], str(tmp_path / "md"))
     written = list((tmp_path / "md").rglob("*.txt"))
     assert [p.read_bytes().decode() for p in written if p.stat().st_size] == [GOLDEN]
     lines = [r.line for r in files.progress(run["results"]).orderBy("seq").collect()]
-    assert lines[0].startswith("Demo.ApplicationOverview: created, version 1")
+    assert lines[0].startswith("Orchard.ApplicationOverview: created, version 1")
     shown = files.missing_json(run["missing"].select("app_id", "missing")).first().json
     assert [m["field"] for m in json.loads(shown)][-1] == "application_summary.technology_summary"
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from factlake.functions.registry import MODELS, Field, Model, declared
 from factlake.operators import score, validate
 
-MODELS["TestContact"] = declared("TestContact", "name! phone?")
-THING = Model("Thing", (*declared("Thing", "name! size? contacts*TestContact url~ tags* scope*~").fields, Field("level", "enum", allowed=("low", "high"), default=None, nullable=True, owner="Thing")))
+MODELS["TestStop"] = declared("TestStop", "name! phone?")
+PARCEL = Model("Parcel", (*declared("Parcel", "name! weight? stops*TestStop customs~ tags* scope*~").fields, Field("speed", "enum", allowed=("slow", "fast"), default=None, nullable=True, owner="Parcel")))
 
 
 def paths(spark, model, payload):
@@ -19,8 +19,8 @@ def paths(spark, model, payload):
 
 
 def test_valid_payload_has_no_errors(spark):
-    assert paths(spark, THING, {"name": "x", "contacts": [{"name": "a"}], "url": {"reason": "none"}, "tags": ["t"], "scope": [], "level": "low"}) == []
-    assert paths(spark, THING, {"name": " ", "url": None, "size": None, "level": None}) == []
+    assert paths(spark, PARCEL, {"name": "x", "stops": [{"name": "a"}], "customs": {"reason": "none"}, "tags": ["t"], "scope": [], "speed": "slow"}) == []
+    assert paths(spark, PARCEL, {"name": " ", "customs": None, "weight": None, "speed": None}) == []
 
 
 @pytest.mark.parametrize(
@@ -31,14 +31,14 @@ def test_valid_payload_has_no_errors(spark):
         ({"name": 5}, [("name", "string_type")]),
         ({"name": None}, [("name", "string_type")]),
         ({"name": "x", "other": 1}, [("other", "extra_forbidden")]),
-        ({"name": "x", "level": "LOW"}, [("level", "enum")]),
-        ({"name": "x", "contacts": {}}, [("contacts", "list_type")]),
-        ({"name": "x", "contacts": [{"name": "a"}, {"phone": "1", "z": 1}, "s"]}, [("contacts.1.name", "missing"), ("contacts.1.z", "extra_forbidden"), ("contacts.2", "model_type")]),
-        ({"name": "x", "url": 5}, [("url.str", "string_type"), ("url.NotApplicable", "model_type")]),
-        ({"name": "x", "url": {}}, [("url.str", "string_type"), ("url.NotApplicable.reason", "missing")]),
+        ({"name": "x", "speed": "SLOW"}, [("speed", "enum")]),
+        ({"name": "x", "stops": {}}, [("stops", "list_type")]),
+        ({"name": "x", "stops": [{"name": "a"}, {"phone": "1", "z": 1}, "s"]}, [("stops.1.name", "missing"), ("stops.1.z", "extra_forbidden"), ("stops.2", "model_type")]),
+        ({"name": "x", "customs": 5}, [("customs.str", "string_type"), ("customs.NotApplicable", "model_type")]),
+        ({"name": "x", "customs": {}}, [("customs.str", "string_type"), ("customs.NotApplicable.reason", "missing")]),
         ({"name": "x", "scope": None}, [("scope.list[str]", "list_type"), ("scope.NotApplicable", "model_type")]),
         ({"name": "x", "tags": ["a", 1]}, [("tags.1", "string_type")]),
-        ({"size": 1, "tags": None, "q": 1}, [("name", "missing"), ("size", "string_type"), ("tags", "list_type"), ("q", "extra_forbidden")]),
+        ({"weight": 1, "tags": None, "q": 1}, [("name", "missing"), ("weight", "string_type"), ("tags", "list_type"), ("q", "extra_forbidden")]),
         ("text", [("payload", "model_type")]),
         ("[1]", [("payload", "model_type")]),
         ("null", [("payload", "model_type")]),
@@ -46,24 +46,24 @@ def test_valid_payload_has_no_errors(spark):
     ],
 )
 def test_violations(spark, payload, expected):
-    assert paths(spark, THING, payload) == expected
+    assert paths(spark, PARCEL, payload) == expected
 
 
 def test_error_record(spark):
-    rows = spark.createDataFrame([('{"name": "x", "level": "mid", "extra": [1]}',)], "p string")
-    first, second = rows.select(validate.payload_errors(THING, F.col("p")).alias("e")).first().e
-    assert first.expected == "'low' or 'high'" and first.received == '"mid"' and first.question.endswith("?")
+    rows = spark.createDataFrame([('{"name": "x", "speed": "mid", "extra": [1]}',)], "p string")
+    first, second = rows.select(validate.payload_errors(PARCEL, F.col("p")).alias("e")).first().e
+    assert first.expected == "'slow' or 'fast'" and first.received == '"mid"' and first.question.endswith("?")
     assert second.expected == "no such field; remove it" and second.received == "[1]" and "name" in second.question
 
 
 def test_defaults_are_filled_and_keys_sorted(spark):
-    row = spark.createDataFrame([('{"name":"n","contacts":[{"name":"a"}]}',)], "p string").select(F.to_json(validate.normal(THING, F.parse_json("p"))).alias("v")).first()
-    assert row.v == '{"contacts":[{"name":"a","phone":null}],"level":null,"name":"n","scope":[],"size":null,"tags":[],"url":null}'
+    row = spark.createDataFrame([('{"name":"n","stops":[{"name":"a"}]}',)], "p string").select(F.to_json(validate.normal(PARCEL, F.parse_json("p"))).alias("v")).first()
+    assert row.v == '{"customs":null,"name":"n","scope":[],"speed":null,"stops":[{"name":"a","phone":null}],"tags":[],"weight":null}'
 
 
 MODELS["TestLeaf"] = declared("TestLeaf", "name! note?")
 MODELS["TestBare"] = Model("TestBare", (Field("x", "text", default="", scored=False, owner="TestBare"),))
-HOLDER = declared("Holder", "title? leaves*TestLeaf tags* out*~ url~")
+HOLDER = declared("Holder", "title? leaves*TestLeaf tags* out*~ customs~")
 
 
 def counted(spark, model, payload):
@@ -79,8 +79,8 @@ def counted(spark, model, payload):
         ({"title": ""}, (1, 5)),
         ({"leaves": [{"name": "a", "note": "n"}, {"name": "b"}]}, (3, 8)),
         ({"tags": ["a", "b"]}, (1, 5)),
-        ({"out": {"reason": "r"}, "url": {"reason": "r"}}, (2, 5)),
-        ({"out": ["x"], "url": "u"}, (2, 5)),
+        ({"out": {"reason": "r"}, "customs": {"reason": "r"}}, (2, 5)),
+        ({"out": ["x"], "customs": "u"}, (2, 5)),
         ({"tags": [], "title": None}, (0, 5)),
     ],
 )
