@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import pyarrow as pa
 from test_jaccard import brute
 from test_packing import check
 from test_secrets import spans
@@ -64,3 +65,18 @@ def test_odd_documents(spark, odd, none):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, ""), "test-stage")
     assert docs.count() == 0
+
+
+def test_written_rows_reach_workers_in_small_batches(spark):
+    """Memory of a worker and of the JVM's side doesn't grow with the length of rows; all rows come, and the session's setting returns."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["bytes", "rows"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    texts = spark.range(0, 9000, 1, 1).selectExpr("repeat(cast(id as string), 800) as text")
+    rows = written(texts.mapInArrow(sizes, "bytes long, rows long"), "test-batches").collect()
+    assert sum(r.rows for r in rows) == 9000 and max(r.bytes for r in rows) < 9 << 20 and sum(r.bytes for r in rows) > 25 << 20
+    assert spark.conf.get(key) == before
