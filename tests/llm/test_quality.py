@@ -100,3 +100,40 @@ def test_odd_documents(spark, odd, none):
     rows = quality.judged(odd, labels).collect()
     assert len(rows) == odd.count() and not any(r.kept for r in rows if not r.n_words)
     assert quality.judged(none, labels.limit(0)).count() == 0
+
+
+def many(spark, n, seed=1):
+    """n labelled documents of 60 words; the bad ones, a tenth, have longer words, by a length that varies."""
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        bad = i % 10 == 0
+        rows.append((i, " ".join(rng.choice("abcdefgh") * (rng.randrange(9, 19) if bad else rng.randrange(1, 8)) + str(rng.randrange(99)) for _ in range(60))))
+        labels.append((i, 0 if bad else 1))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_all_labelled_documents_take_part(spark, monkeypatch):
+    """Draws come from the whole growing half, and the limit counts every document of the other one."""
+    docs, labels = many(spark, 9000)
+    drawn, levels, seen = quality.drawn, quality._levels, []
+    monkeypatch.setattr(quality, "drawn", lambda rows, total, *a: seen.append((rows, total, drawn(rows, total, *a))) or seen[-1][2])
+    monkeypatch.setattr(quality, "_levels", lambda *a: seen.append(levels(*a)) or seen[-1])
+    forest, limit = quality.trained(docs, labels)
+    (rows, total, tables), counts = seen
+    assert counts.sum((0, 2, 3)).tolist() == [9000] * len(quality.VIEWS) and abs(counts[1, 0].sum() - 4500) < 300 and total == 9000 - counts[1, 0].sum()
+    assert [t.shape for t in tables] == [(quality.ROWS, len(quality.measured("")[1]))] * quality.TREES
+    assert len({r.tobytes() for t in tables for r in t}) > 0.98 * rows.select("ratios").distinct().count()  # with 100 trees a row is in no tree by chance only
+    halves = {r.doc_id: (r.half, r.ratios) for r in rows.select("doc_id", "half", "ratios").collect()}
+    texts = {r.doc_id: (r.quality, r.text) for r in docs.join(labels, "doc_id").collect() if r.doc_id not in halves}
+    scores = {kind: quality.scores(forest, np.array([quality.measured(t)[1] for q, t in texts.values() if q == kind])) for kind in (0, 1)}
+    assert quality.calibrated(scores[1], scores[0])[1] == limit
+    assert 0 < (scores[1] > limit).mean() <= 1 - quality.KEEP and (scores[0] > limit).mean() > 20 * (scores[1] > limit).mean()
+
+
+def test_draws_are_the_first_by_hash_at_any_size(spark):
+    for total in (5, 300, 3000):
+        rows = spark.range(total).selectExpr("id as doc_id", "array(cast(id as double)) as ratios")
+        keys = np.array([r[0] for r in rows.selectExpr("xxhash64(doc_id)").collect()], np.int64).view(np.uint64)
+        for t, table in enumerate(quality.drawn(rows.repartition(3), total, 4)):
+            assert table[:, 0].tolist() == np.argsort(quality._mixed(keys, t))[: quality.ROWS].tolist()
